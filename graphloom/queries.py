@@ -656,9 +656,12 @@ def o2_union(spark, sf_dir):
     return setops.union(a, b).edges.select("src", "dst", "weight")
 
 
-@query(f"WITH {NATION_FLOW} SELECT a.id AS src, b.id AS dst FROM nv a JOIN nv b ON a.id <> b.id WHERE NOT EXISTS (SELECT 1 FROM ne WHERE src = a.id AND dst = b.id)")
+@query(f"""WITH {NATION_FLOW}, busy AS (SELECT * FROM ne WHERE weight >= (SELECT avg(weight) FROM ne))
+    SELECT a.id AS src, b.id AS dst FROM nv a JOIN nv b ON a.id <> b.id WHERE NOT EXISTS (SELECT 1 FROM busy WHERE src = a.id AND dst = b.id)""")
 def o3_complement(spark, sf_dir):
-    return setops.complement(derived.nation_flow(spark, sf_dir)).edges.select("src", "dst")
+    g = derived.nation_flow(spark, sf_dir)
+    mean = g.edges.agg(F.avg("weight")).first()[0]
+    return setops.complement(g.with_edges(g.edges.where(F.col("weight") >= mean))).edges.select("src", "dst")
 
 
 # -- trees, flows, matchings, trails ----------------------------------------------------------
