@@ -91,6 +91,26 @@ def split_hot(df: DataFrame, keys: list[str], spread, block: int) -> DataFrame:
     return dealt.withColumn("own", own).select(*cols, F.explode(pairs).alias("_p")).select(*cols, "_p.bi", "_p.bj")
 
 
+class Remembered:
+    """What a worker has computed for words, in two generations of at most ``limit`` words and a slice's.
+
+    When the younger is full it becomes the older, from which words that come again are
+    taken back; so frequent words stay and memory has a bound.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def missing(self, words: set) -> list:
+        """The words that are not known; the others are in ``young`` after the call."""
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        absent = [w for w in words if w not in young]
+        young.update((w, old[w]) for w in absent if w in old)
+        return [w for w in absent if w not in old]
+
+
 class Forest:
     """Union-find over the rows of one batch; ``labels`` are refreshed by the caller's request."""
 

@@ -7,6 +7,10 @@ from functools import lru_cache
 
 MARK = "▁"
 RUNS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+LINES = re.compile("(\n)")
+#: Runs of letters, with the marks before them, and runs of anything else.
+PARTS = re.compile(f"{MARK}*[^\\W\\d_]+|[\\W\\d_]+")
+LETTER = re.compile(r"[^\W\d_]")
 UNIGRAM, BPE = "unigram", "bpe"
 #: The tokenizer library's fixed penalty of an unknown character below the lowest score.
 UNKNOWN_PENALTY = 10.0
@@ -44,9 +48,17 @@ class PieceModel:
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == kind.UNKNOWN)
         self.byte_ids = [i for i, p in enumerate(model.pieces) if p.type == kind.BYTE] if spec.byte_fallback else []
         self.longest = max(map(len, self.ids))
+        self.chars = frozenset(p for p in self.ids if len(p) == 1)
+        #: Every end of a piece -> the id of the piece it is, or -1: what is no key ends no piece.
+        self.ends = {p[k:]: -1 for p in self.ids for k in range(len(p))} | self.ids
         self.unknown_score = min(self.scores[i] for i in self.ids.values()) - UNKNOWN_PENALTY
         #: A mark after another character begins a word unless some piece holds both.
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
+        #: A line break is in no piece, so it is a word of its own.
+        self.breaks = not any("\n" in p for p in self.ids)
+        #: No piece goes from a letter to another character or, but for marks, back, so words part there.
+        letters = {p: [bool(LETTER.match(c)) for c in p.lstrip(MARK)] for p in self.ids}
+        self.parts_apart = bool(self.byte_ids) and all(len(set(kinds)) < 2 for kinds in letters.values())
         silent = {i for i, p in enumerate(model.pieces) if p.type == kind.CONTROL}
         self.spelt = [b"" if i in silent else self._spell(i, spec.unk_surface) for i in range(len(self.surface))]
         self._pairs: dict[tuple[str, str], bool] = {}
@@ -69,7 +81,14 @@ class PieceModel:
             return [marked]
         if MARK * 2 in marked or marked[0] != MARK:
             return RUNS.findall(marked)
-        return [MARK + w for w in marked[1:].split(MARK)]
+        words = [MARK + w for w in marked[1:].split(MARK)]
+        if self.breaks and "\n" in text:
+            words = [x for w in words for x in (filter(None, LINES.split(w)) if "\n" in w else (w,))]
+        return words
+
+    def parts(self, word: str) -> list[str]:
+        """The parts of a word that no piece joins; each is put together on its own."""
+        return PARTS.findall(word) if self.parts_apart else [word]
 
     def unknown_ids(self, char: str) -> list[int]:
         """The ids of a character that is in no piece: its bytes, or the unknown id."""

@@ -19,87 +19,141 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, tokenizer_file
+from .common import Remembered, text_slices, tokenizer_file
 from .pieces import UNIGRAM, PieceModel, load
 
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
-
-
-def best_end(model: PieceModel, word: str, end: int, states: list[tuple]) -> tuple:
-    """Viterbi state of word[: end + 1]: (score, start of the last piece, its id or -1)."""
-    ids, scores = model.ids, model.scores
-    top, at, piece = None, end, -1
-    for start in range(max(0, end + 1 - model.longest), end + 1):
-        i = ids.get(word[start : end + 1])
-        if i is not None:
-            score = states[start][0] + scores[i]
-            if top is None or score > top:
-                top, at, piece = score, start, i
-    if word[end] not in ids:
-        score = states[end][0] + model.unknown_score
-        if top is None or score > top:
-            top, at, piece = score, end, -1
-    return top, at, piece
-
-
-def merged_end(model: PieceModel, word: str, end: int, states: list[tuple]) -> tuple:
-    """Merging state of word[: end + 1]: (last piece, its start, its id or -1)."""
-    ids = model.ids
-    for start in range(max(0, end + 1 - model.longest), end + 1):
-        piece = word[start : end + 1]
-        i = ids.get(piece)
-        if i is not None and model.stand(states[start][0], piece):
-            return piece, start, i
-    return word[end], end, -1
-
-
-def encode_words(model: PieceModel, words: list[str]) -> Iterator[tuple[str, array]]:
-    """(word, ids) of sorted words."""
-    forward = best_end if model.reading == UNIGRAM else merged_end
-    states: list[tuple] = [(0.0 if model.reading == UNIGRAM else "", 0, -1)]
-    before = ""
+REMEMBERED = 350_000
+
+
+def viterbi_states(model: PieceModel, words: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
+    """(word, start of the last piece at each end, its id or -1) of sorted words.
+
+    Starts are tried from the latest back, so the earliest of equal scores is taken last.  A
+    character that is no piece may also stand alone at the unknown score.
+    """
+    ends, scores, known, unknown = model.ends.get, model.scores, model.ids, model.unknown_score
+    best, at, ids, before = [0.0], [0], [-1], ""
+    for word in words:
+        shared = shared_prefix(before, word)
+        del best[shared + 1 :], at[shared + 1 :], ids[shared + 1 :]
+        for stop in range(shared + 1, len(word) + 1):
+            top, first, piece = None, stop - 1, -1
+            for start in range(stop - 1, -1, -1):
+                i = ends(word[start:stop])
+                if i is None:
+                    break
+                if i >= 0:
+                    score = best[start] + scores[i]
+                    if top is None or score >= top:
+                        top, first, piece = score, start, i
+            if word[stop - 1] not in known:
+                score = best[stop - 1] + unknown
+                if top is None or score > top:
+                    top, first, piece = score, stop - 1, -1
+            best.append(top)
+            at.append(first)
+            ids.append(piece)
+        yield word, at, ids
+        before = word
+
+
+def merged_states(model: PieceModel, words: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
+    """(word, start of the last piece that merging leaves at each end, its id or -1) of sorted words."""
+    ends, stand = model.ends.get, model.stand
+    last, at, ids, before = [""], [0], [-1], ""
     for word in words:
-        shared, most = 0, min(len(before), len(word))
-        while shared < most and before[shared] == word[shared]:
-            shared += 1
-        del states[shared + 1 :]
-        for end in range(shared, len(word)):
-            states.append(forward(model, word, end, states))
+        shared = shared_prefix(before, word)
+        del last[shared + 1 :], at[shared + 1 :], ids[shared + 1 :]
+        for stop in range(shared + 1, len(word) + 1):
+            for start in range(stop - 1, -1, -1):
+                piece = word[start:stop]
+                i = ends(piece)
+                if i is None:
+                    last.append(word[stop - 1])
+                    at.append(stop - 1)
+                    ids.append(-1)
+                    break
+                if i >= 0 and stand(last[start], piece):
+                    last.append(piece)
+                    at.append(start)
+                    ids.append(i)
+                    break
+            else:
+                last.append(word[stop - 1])
+                at.append(stop - 1)
+                ids.append(-1)
+        yield word, at, ids
+        before = word
+
+
+def shared_prefix(a: str, b: str) -> int:
+    """Length of the common prefix."""
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def encode_words(model: PieceModel, words: list[str]) -> Iterator[tuple[str, bytes]]:
+    """(word, ids as 32-bit integers) of sorted words."""
+    for word, at, ids in (viterbi_states if model.reading == UNIGRAM else merged_states)(model, words):
         found, end = [], len(word)
         while end:
-            _, start, i = states[end]
-            found.append([i] if i >= 0 else model.unknown_ids(word[start:end]))
-            end = start
-        ids = array("i", [i for piece in reversed(found) for i in piece])
+            i = ids[end]
+            if i >= 0:
+                found.append(i)
+            else:
+                found += reversed(model.unknown_ids(word[at[end] : end]))
+            end = at[end]
+        found.reverse()
         if not model.byte_ids:
-            ids = array("i", [i for k, i in enumerate(ids) if not (k and i == ids[k - 1] == model.unknown)])
-        yield word, ids
-        before = word
+            found = [i for k, i in enumerate(found) if not (k and i == found[k - 1] == model.unknown)]
+        yield word, array("i", found).tobytes()
 
 
 class Encoder:
-    """Encodes slices of texts, remembering the words it has met."""
+    """Encodes slices of texts by one or more models that share their words.
 
-    def __init__(self, model: PieceModel):
-        self.model = model
-        self.known: dict[str, bytes] = {}
+    It remembers the words and the parts of words it has met, each with its ids by every model.
+    """
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as 32-bit integers."""
-        split = [self.model.words(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        known.update((w, ids.tobytes()) for w, ids in encode_words(self.model, sorted(new)))
-        return [b"".join([known[w] for w in words]) for words in split]
+    def __init__(self, *models: PieceModel):
+        self.models = models
+        self.known, self.parts = Remembered(REMEMBERED), Remembered(REMEMBERED)
+
+    def encode(self, texts: list[str | None]) -> list[list[bytes]]:
+        """For each model the ids of each text as 32-bit integers."""
+        first = self.models[0]
+        split = [first.words(t) for t in texts]
+        new = {w: first.parts(w) for w in self.known.missing(set().union(*split))}
+        unmet = sorted(self.parts.missing({p for parts in new.values() for p in parts}))
+        found = [[ids for _, ids in encode_words(m, unmet)] for m in self.models]
+        self.parts.young.update(zip(unmet, zip(*found)))
+        part, known = self.parts.young.__getitem__, self.known.young
+        for w, parts in new.items():
+            known[w] = part(parts[0]) if len(parts) == 1 else tuple(map(b"".join, zip(*map(part, parts))))
+        out: list[list[bytes]] = [[] for _ in self.models]
+        for words in split:
+            met = list(map(known.__getitem__, words))
+            for k, column in enumerate(out):
+                column.append(b"".join([m[k] for m in met]))
+        return out
+
+
+@lru_cache(maxsize=4)
+def encoder_of(path: str, *readings: str | None) -> Encoder:
+    """One encoder for all the tasks of a worker."""
+    return Encoder(*(load(path, r) for r in readings))
 
 
 def encode(
@@ -113,9 +167,9 @@ def encode(
     path = tokenizer_file(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load(path, reading))
+        encoder = encoder_of(path, reading)
         for part, texts in text_slices(batches, "text"):
-            ids = encoder.encode(texts)
+            (ids,) = encoder.encode(texts)
             ends = np.cumsum([0, *[len(x) // 4 for x in ids]], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
             yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "ids"])
@@ -151,10 +205,10 @@ def digests(
     path = tokenizer_file(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, best = load(path), load(path, UNIGRAM)
-        encoder, viterbi = Encoder(own), Encoder(best)
+        encoder = encoder_of(path, None, UNIGRAM)
+        own, best = encoder.models
         for part, texts in text_slices(batches, "text"):
-            ids, paths = encoder.encode(texts), viterbi.encode(texts)
+            ids, paths = encoder.encode(texts)
             back = [
                 all(m.decode(np.frombuffer(x, dtype="<i4").tolist()) == (t or "") for m, x in ((own, a), (best, b)))
                 for t, a, b in zip(texts, ids, paths)
