@@ -10,28 +10,52 @@ merging leaves and its number of pieces.  No path is kept and no ids are made.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, tokenizer_file
+from .common import Remembered, text_slices, tokenizer_file
 from .pieces import UNIGRAM, PieceModel, load
 from .sentencepiece import REMEMBERED
 
 
-class Counter:
-    """Counts the pieces of words and texts."""
+class WordCounter:
+    """Counts the pieces of a word by one model."""
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.known: dict[str, int] = {}
         self.matches = ahocorasick.Automaton()
         for piece, i in model.ids.items():
             self.matches.add_word(piece, (len(piece), i, piece))
         self.matches.make_automaton()
-        self.count = self._best if model.reading == UNIGRAM else self._merged
+        self.best = model.reading == UNIGRAM
+
+    def count(self, word: str) -> int:
+        # in a word of characters that are pieces, some match reaches every end
+        if self.model.chars.issuperset(word):
+            return self._best_known(word) if self.best else self._merged_known(word)
+        return self._best(word) if self.best else self._merged(word)
+
+    def _best_known(self, word: str) -> int:
+        scores, score, count, done = self.model.scores, [0.0] * (len(word) + 1), [0] * (len(word) + 1), -1
+        for last, (length, i, _) in self.matches.iter(word):
+            start = last + 1 - length
+            other = score[start] + scores[i]
+            if last != done or other > score[last + 1]:
+                score[last + 1], count[last + 1], done = other, count[start] + 1, last
+        return count[-1]
+
+    def _merged_known(self, word: str) -> int:
+        stand, piece, count, done = self.model.stand, [""] * (len(word) + 1), [0] * (len(word) + 1), -1
+        for last, (length, _, text) in self.matches.iter(word):
+            if last != done:
+                start = last + 1 - length
+                if stand(piece[start], text):
+                    piece[last + 1], count[last + 1], done = text, count[start] + 1, last
+        return count[-1]
 
     def _unknown(self, char: str) -> int:
         return len(self.model.unknown_ids(char))
@@ -84,18 +108,38 @@ class Counter:
         unmatched(len(word))
         return count[-1]
 
-    def counts(self, texts: list[str | None]) -> list[int]:
-        """The number of pieces of each text."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, out = self.known, []
-        for text in texts:
-            words = self.model.words(text)
-            known.update((w, self.count(w)) for w in set(words) if w not in known)
-            out.append(sum([known[w] for w in words]))
+
+class Counter:
+    """Counts the pieces of texts by one or more models that share their words."""
+
+    def __init__(self, *models: PieceModel):
+        self.words, self.parts_of = models[0].words, models[0].parts
+        self.counters = [WordCounter(m) for m in models]
+        self.known, self.parts = Remembered(REMEMBERED), Remembered(REMEMBERED)
+
+    def counts(self, texts: list[str | None]) -> list[list[int]]:
+        """For each model the number of pieces of each text."""
+        split = [self.words(t) for t in texts]
+        new = {w: self.parts_of(w) for w in self.known.missing(set().union(*split))}
+        unmet = self.parts.missing({p for parts in new.values() for p in parts})
+        self.parts.young.update((p, tuple([c.count(p) for c in self.counters])) for p in unmet)
+        part, known = self.parts.young.__getitem__, self.known.young
+        for w, parts in new.items():
+            known[w] = part(parts[0]) if len(parts) == 1 else tuple(map(sum, zip(*map(part, parts))))
+        out: list[list[int]] = [[] for _ in self.counters]
+        for words in split:
+            met = list(map(known.__getitem__, words))
+            for k, column in enumerate(out):
+                column.append(sum([m[k] for m in met]))
         return out
 
 
+@lru_cache(maxsize=4)
+def counter_of(path: str, *readings: str | None) -> Counter:
+    """One counter for all the tasks of a worker."""
+    return Counter(*(load(path, r) for r in readings))
+
+
 def token_counts(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -112,9 +156,9 @@ def token_counts(
     path = tokenizer_file(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, best = Counter(load(path, reading)), Counter(load(path, UNIGRAM))
+        counter = counter_of(path, reading, UNIGRAM)
         for part, texts in text_slices(batches, "text"):
-            columns = [pa.array(c.counts(texts), pa.int64()) for c in (own, best)]
+            columns = [pa.array(n, pa.int64()) for n in counter.counts(texts)]
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", "n_tokens", "n_viterbi"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
