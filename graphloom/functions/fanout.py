@@ -20,7 +20,7 @@ from ..graph import PropertyGraph
 from ..plans.lineage import cut
 from ..plans.supersteps import check
 
-#: Arcs up to which a graph is sent to the workers, at 24 bytes each.
+#: Arcs, and vertices, up to which a graph is sent to the workers, at 24 and 8 bytes each.
 SENT_ARCS = 4_000_000
 
 
@@ -137,14 +137,14 @@ def per_source(v: DataFrame, arcs: DataFrame, weighted: bool, work: Callable, sc
     return v.select("n").repartition(width).mapInPandas(run, schema)
 
 
-def small_enough(arcs: DataFrame) -> bool:
-    return arcs.count() <= SENT_ARCS
+def small_enough(v: DataFrame, arcs: DataFrame) -> bool:
+    return max(arcs.count(), v.count()) <= SENT_ARCS
 
 
 def distances(v: DataFrame, arcs: DataFrame, weighted: bool, should_stop=None) -> DataFrame:
     """(s, t, d): every pair's distance, from non-negative weights or hops."""
     kind = arcs.schema["w"].dataType.simpleString() if weighted else "int"
-    if small_enough(arcs):
+    if small_enough(v, arcs):
 
         def work(near, sources, n):
             for s in sources:
@@ -176,7 +176,7 @@ def _wide(kind: str) -> str:
 def summaries(v: DataFrame, arcs: DataFrame, weighted: bool, should_stop=None) -> DataFrame:
     """(s, reached, total, furthest) of each source, distances summed where they are found."""
     kind = _wide(arcs.schema["w"].dataType.simpleString()) if weighted else "bigint"
-    if small_enough(arcs):
+    if small_enough(v, arcs):
 
         def work(near, sources, n):
             rows = []

@@ -43,7 +43,7 @@ def betweenness_centrality(g: PropertyGraph, weight: str | None = None, should_s
     if weight is not None and not arcs.where("w <= 0 or w is null").isEmpty():
         raise NegativeWeightError("betweenness needs positive weights")
     weighted = weight is not None
-    if fanout.small_enough(arcs):
+    if fanout.small_enough(v, arcs):
 
         def work(near, sources, n):
             total: dict[int, float] = {}
