@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import decontamination, quality, sentencepiece, simhash, toxicity
-from graphloom.llm.common import table
+from graphloom.llm.common import remove_dir, table
 from graphloom.plans.lineage import shared_dir
 
 
@@ -49,11 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's are written to the shared folder and reread."""
+    """The last stage's rows; each stage's are written to the shared folder, reread, and removed once used."""
     out = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, used = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{out}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if used is not None:
+            remove_dir(used)
+        docs, used = spark.read.parquet(path), path
     return docs
