@@ -134,9 +134,19 @@ class PropertyGraph:
         with_src = self.edges.join(v.withColumnsRenamed({"id": "src", "o": "src_ord"}), "src")
         return with_src.join(v.withColumnsRenamed({"id": "dst", "o": "dst_ord"}), "dst")
 
-    def scan_edges(self) -> DataFrame:
-        """Edges grouped by source vertex in vertex order, by insertion within."""
-        return self.edges_with_ords().orderBy(*self.enumeration()).select(*self.edges.columns)
+    def scan_edges(self, matrix: bool = False) -> DataFrame:
+        """Edges grouped by source vertex in vertex order, by insertion within.
+
+        With ``matrix`` in the order of an adjacency matrix: by row and column, undirected
+        edges in the upper triangle.
+        """
+        e = self.edges_with_ords()
+        if not matrix:
+            return e.orderBy(*self.enumeration()).select(*self.edges.columns)
+        order = (F.col("src_ord"), F.col("dst_ord"))
+        if not self.directed:
+            order = (F.least(*order), F.greatest(*order))
+        return e.orderBy(*order).select(*self.edges.columns)
 
     def as_read_only(self) -> PropertyGraph:
         """The graph itself: DataFrames can't be changed."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,44 @@ from .plans.components import star_components
 from .plans.lineage import cut
 
 
+@dataclass(frozen=True)
+class IncidenceVertex:
+    """A vertex of the incidence graph: a vertex of the hypergraph or the number of a hyperedge."""
+
+    is_hyperedge: bool
+    _vertex: Any = None
+    _hyperedge_index: int | None = None
+
+    @classmethod
+    def for_vertex(cls, v: Any) -> IncidenceVertex:
+        if v is None:
+            raise ValueError("a vertex must not be null")
+        return cls(False, v)
+
+    @classmethod
+    def for_hyperedge(cls, index: int) -> IncidenceVertex:
+        if index < 0:
+            raise ValueError("a hyperedge's number must not be negative")
+        return cls(True, None, index)
+
+    @classmethod
+    def of(cls, row) -> IncidenceVertex:
+        """That of an id in ``to_incidence_graph``."""
+        return cls(row["is_hyperedge"], row["vertex"], row["hyperedge_index"])
+
+    @property
+    def vertex(self) -> Any:
+        if self.is_hyperedge:
+            raise ValueError("this is a hyperedge")
+        return self._vertex
+
+    @property
+    def hyperedge_index(self) -> int:
+        if not self.is_hyperedge:
+            raise ValueError("this is a vertex")
+        return self._hyperedge_index
+
+
 class Hypergraph:
     """Vertices (id, ord) and incidences (hid, v); each hid is a hyperedge of its own, equal sets included."""
 

@@ -82,3 +82,11 @@ def test_builder_keeps_insertion_order(spark):
     g = directed(spark).add_edge("x", "y", 2).add_vertex("a").add_edges([("a", "x", 1)]).build()
     assert column(g.scan_vertices()) == ["x", "y", "a"]
     assert [(r.src, r.weight) for r in g.scan_edges().collect()] == [("x", 2), ("a", 1)]
+
+
+def test_matrix_order(spark):
+    g = graph(spark, pairs("c-a b-a c-b"), ["a", "b", "c"])
+    assert [(r.src, r.dst) for r in g.scan_edges().collect()] == [("b", "a"), ("c", "a"), ("c", "b")]
+    assert [(r.src, r.dst) for r in g.scan_edges(matrix=True).collect()] == [("b", "a"), ("c", "a"), ("c", "b")]
+    d = graph(spark, pairs("a-c a-b b-a"), ["a", "b", "c"], True)
+    assert [(r.src, r.dst) for r in d.scan_edges(matrix=True).collect()] == [("a", "b"), ("a", "c"), ("b", "a")]

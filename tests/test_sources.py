@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import FormatError
 from graphloom.graph import PropertyGraph
-from graphloom.hypergraph import Hypergraph
+from graphloom.hypergraph import Hypergraph, IncidenceVertex
 from graphloom.operators import connectivity
 from graphloom.sources import documents, generate, text_formats
 
@@ -27,6 +27,10 @@ def test_hypergraph(spark):
     assert {tuple(sorted((r.src, r.dst))) for r in clique.edges.collect()} == {("a", "b"), ("b", "c"), ("b", "d"), ("c", "d"), ("x", "y")}
     incidence = g.to_incidence_graph()
     assert (incidence.vertex_count(), incidence.edge_count()) == (10, 7)
+    ids = {IncidenceVertex.of(r["id"]) for r in incidence.vertices.collect()}
+    assert IncidenceVertex.for_vertex("lonely") in ids and IncidenceVertex.for_hyperedge(2) in ids
+    with pytest.raises(ValueError):
+        IncidenceVertex.for_vertex("a").hyperedge_index
     assert g.remove_vertex("b").hyperedge_count() == 1
     assert g.remove_hyperedge(2).hyperedge_count() == 2 and g.clear().vertex_count() == 0
     more, hid = g.add_hyperedge(["a", "new"])
