@@ -20,6 +20,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .common import filesystem, fresh_dir, remove_dir, store, text_slices, tokenizer_file
+from .common import Remembered, filesystem, fresh_dir, remove_dir, store, text_slices, tokenizer_file
 
 MAGIC = b"PFORTOK1"
 BLOCK = 512
@@ -35,7 +36,10 @@ BLOCK = 512
 PERCENTILE = 0.9
 #: Blocks that are packed or unpacked together.
 TOGETHER = 512
-REMEMBERED = 400_000
+#: Pieces in one generation of what a worker remembers.
+REMEMBERED = 600_000
+#: Cuts given to the library as one text, whose tokens it describes at some length.
+LINES = 10_000
 
 
 # -- blocks -----------------------------------------------------------------------------------
@@ -56,8 +60,12 @@ def encode_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[np.n
     for w in np.unique(widths).tolist():
         at = np.flatnonzero(widths == w)
         part = over[at]
-        bits = (part[:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
-        packed = np.packbits(bits.astype(np.uint8).reshape(len(at), -1), axis=1, bitorder="little")
+        # what is above the width goes to the exceptions, so narrow integers will do
+        narrow = part.astype(np.uint16 if w <= 16 else np.uint32)
+        bits = np.empty((*part.shape, w), dtype=np.uint8)
+        for b in range(w):
+            np.bitwise_and(narrow >> b, 1, out=bits[:, :, b], casting="unsafe")
+        packed = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
         for k, row, payload in zip(at.tolist(), part, packed):
             where = np.flatnonzero(row >> np.uint32(w)) if w < 32 else np.empty(0, np.int64)
             counts[k] = len(where)
@@ -177,20 +185,36 @@ class Reader:
             doc = last
 
 
+#: White space other than spaces and line breaks.
+OTHER_SPACES = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+SIDE_BY_SIDE = re.compile(r"\s\s")
+
+
 # -- tokens -----------------------------------------------------------------------------------
 
 
 class Tokens:
     """Ids of whole texts by a byte-level BPE of the tokenizers library.
 
-    The pre-tokenizer ends a token before every space that follows anything but a space-like
-    run and precedes a visible character, so texts are cut there and each distinct cut is
-    given to the library once.  Texts with other spaces, or with a special token's string,
-    go to the library whole.
+    The library cuts a text by its pre-tokenizer's pattern and encodes each cut on its own,
+    so each distinct cut is given to it once, many as the lines of one text.  Texts are first
+    split at places that always begin a cut, which is cheap: a single space or line break
+    between visible characters and, where marks are neither doubled nor after white space, a
+    full stop or comma.  Only pieces that are not remembered are cut by the pattern.  Texts
+    with white space side by side, a null character or a special token's string go to the
+    library whole.
     """
 
+    #: The pattern of the byte-level pre-tokenizer, fixed by its definition.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    #: Ends a line: white space that is a cut of its own between visible characters.
+    LINE = "\n"
+    #: Begins a piece that has no space before it.
+    BARE = "\0"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -199,35 +223,101 @@ class Tokens:
         plain = spec.get("normalizer") is None and spec.get("pre_tokenizer") == {
             "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True
         }
-        special = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
-        self.whole = re.compile("|".join([r" (?=\s|$)(?s:.)", r" \Z", *special]) if plain else "(?s:.)|^$")
-        self.known: dict[str, bytes] = {}
+        self.plain = plain
+        self.unusual = ("  ", "\n\n", " \n", "\n ", self.BARE, *(t["content"] for t in spec.get("added_tokens", [])))
+        self.pattern = regex.compile(self.PATTERN).findall
+        self.visible = regex.compile(r" ?\S+").fullmatch
+        line = self.library.encode(self.LINE, add_special_tokens=False).ids
+        self.line_id = line[0] if len(line) == 1 else None
+        self.pieces = Remembered(REMEMBERED)
+        self.cuts: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch(texts, add_special_tokens=False)
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _lines(self, cuts: list[str]) -> list[bytes]:
+        """Ids of cuts without line breaks, given to the library as lines."""
+        out: list[bytes] = []
+        for at in range(0, len(cuts), LINES):
+            ids = np.frombuffer(self._library([self.LINE.join(cuts[at : at + LINES])])[0], dtype="<u4")
+            breaks = np.flatnonzero(ids == self.line_id)
+            raw, starts, ends = ids.tobytes(), [0, *(breaks + 1).tolist()], [*breaks.tolist(), len(ids)]
+            out += [raw[4 * a : 4 * b] for a, b in zip(starts, ends)]
+        return out
+
+    def _of_cuts(self, texts: list[str]) -> list[bytes]:
+        """Ids of short texts, cut by the pattern."""
+        if len(self.cuts) > REMEMBERED // 4:
+            self.cuts.clear()
+        known, split = self.cuts, [self.pattern(t) for t in texts]
+        new = list({c for cuts in split for c in cuts if c not in known})
+        lines = [c for c in new if self.visible(c)] if self.line_id is not None else []
+        known.update(zip(lines, self._lines(lines)))
+        rest = [c for c in new if c not in known]
+        known.update(zip(rest, self._library(rest)))
+        return [b"".join([known[c] for c in cuts]) for cuts in split]
+
+    def _as_whole(self, text: str) -> bool:
+        """Whether the library must see the text whole."""
+        if not self.plain or any([x in text for x in self.unusual]):
+            return True
+        return any([x in text for x in OTHER_SPACES]) and SIDE_BY_SIDE.search(text) is not None
+
+    @staticmethod
+    def _marks_apart(text: str) -> bool:
+        """Whether every full stop and comma follows a letter or digit and precedes one, white space or the end."""
+        for mark in ".,":
+            parts = text.split(mark)
+            if not all([p[-1:].isalnum() for p in parts[:-1]]):
+                return False
+            if not all([not p or p[0].isalnum() or p[0].isspace() for p in parts[1:]]):
+                return False
+        return True
+
+    def _split(self, text: str) -> list[str]:
+        """The first piece, with nothing before it, and the others, with a space unless they begin with
+        a line break or ``BARE``."""
+        apart = self._marks_apart(text)
+        text = text.replace("\n", " \n")
+        if apart:
+            text = text.replace(".", " \0.").replace(",", " \0,")
+        return text.split(" ")
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian u32."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, cuts, whole = self.known, [], {}
+        split, whole, heads, seen = [], {}, {}, set()
         for k, text in enumerate(texts):
             text = text or ""
-            if self.whole.search(text):
+            if self._as_whole(text):
                 whole[k] = text
-                cuts.append(())
+                split.append(("", []))
                 continue
-            first, *rest = text.split(" ")
-            cuts.append(([first] if first else []) + [f" {w}" for w in rest])
-        new = sorted({c for parts in cuts for c in parts if c not in known})
-        known.update(zip(new, self._library(new)))
-        out = [b"".join([known[c] for c in parts]) for parts in cuts]
+            first, *rest = self._split(text)
+            heads[first] = b""
+            seen.update(rest)
+            split.append((first, rest))
+        new = self.pieces.missing(seen)
+        young = self.pieces.young
+        letters = [p for p in new if p.isalpha()] if self.line_id is not None else []
+        young.update(zip(letters, self._lines([f" {p}" for p in letters])))
+        others = [p for p in new if p not in young]
+        shown = [p.removeprefix(self.BARE) if p[:1] in ("\n", self.BARE) else f" {p}" for p in others]
+        young.update(zip(others, self._of_cuts(shown)))
+        begin = [p for p in heads if p]
+        heads.update(zip(begin, self._of_cuts(begin)))
+        out = [heads[first] + b"".join(map(young.__getitem__, rest)) for first, rest in split]
         for k, ids in zip(whole, self._library(list(whole.values()))):
             out[k] = ids
         return out
 
 
+@lru_cache(maxsize=4)
+def tokens_of(path: str) -> Tokens:
+    """One encoder for all the tasks of a worker."""
+    return Tokens(path)
+
+
 def write(
     docs: DataFrame,
     out_dir: str,
@@ -254,7 +344,7 @@ def write(
         total = {"docs": 0, "tokens": 0}
 
         def fill(out) -> None:
-            writer, tokens = Writer(out), Tokens(path)
+            writer, tokens = Writer(out), tokens_of(path)
             for part, texts in text_slices(batches, "text"):
                 ids = [x + ending for x in tokens.encode(texts)]
                 writer.add(part.column(0).to_pylist(), [len(x) // 4 for x in ids], np.frombuffer(b"".join(ids), "<u4"))
@@ -315,5 +405,5 @@ def round_trip(docs: DataFrame, **options) -> DataFrame:
     spark = docs.sparkSession
     out_dir = fresh_dir(spark, "tokens")
     found = cut(read(spark, write(docs, out_dir, **options)))
-    remove_dir(out_dir)
+    remove_dir(spark, out_dir)
     return found
