@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import shared_dir
 
 #: Text bytes that a Python worker handles at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -174,11 +174,10 @@ def store(uri: str, write: Callable) -> int:
     return fs.get_file_info(path).size
 
 
-def remove_dir(uri: str) -> None:
-    """Removes a folder of finished files."""
-    fs, path = filesystem(uri)
-    if fs.get_file_info(path).type == pafs.FileType.Directory:
-        fs.delete_dir(path)
+def remove_dir(spark: SparkSession, uri: str) -> None:
+    """Removes a folder, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc32_bucket(column: str, modulus: int):

@@ -365,7 +365,7 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     arc_dir, warc_dir = fresh_dir(spark, "arc"), fresh_dir(spark, "warc")
     arcs = write_arcs(pages, arc_dir, id_col, url_col, html_col)
     warcs = convert_arcs(revisits(cut(index_arcs(arcs))), warc_dir)
-    remove_dir(arc_dir)
+    remove_dir(spark, arc_dir)
     found = cut(read_warcs(warcs, id_col))
-    remove_dir(warc_dir)
+    remove_dir(spark, warc_dir)
     return found
