@@ -15,7 +15,7 @@ UNIGRAM, BPE = "unigram", "bpe"
 #: The tokenizer library's fixed penalty of an unknown character below the lowest score.
 UNKNOWN_PENALTY = 10.0
 #: Remembered pairs of pieces.
-PAIRS = 4_000_000
+PAIRS = 1_000_000
 
 
 class PieceModel:
@@ -61,7 +61,7 @@ class PieceModel:
         self.parts_apart = bool(self.byte_ids) and all(len(set(kinds)) < 2 for kinds in letters.values())
         silent = {i for i, p in enumerate(model.pieces) if p.type == kind.CONTROL}
         self.spelt = [b"" if i in silent else self._spell(i, spec.unk_surface) for i in range(len(self.surface))]
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self._pairs: dict[int, bool] = {}
 
     def _spell(self, i: int, unk_surface: str) -> bytes:
         if i == self.unknown:
@@ -121,16 +121,18 @@ class PieceModel:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stand(self, left: str, right: str) -> bool:
-        """Whether merging leaves the two pieces side by side; with an empty left, whether it makes the right one.
+    def stand(self, left: int, right: int) -> bool:
+        """Whether merging leaves the two pieces side by side; with left -1, whether it makes the right one.
 
         Merging inside two neighbouring pieces does not depend on what surrounds them, so a
-        sequence is the result of merging exactly if all its neighbours stand.
+        sequence is the result of merging exactly if all its neighbours stand.  An unknown
+        character merges with nothing, so it is -1 to what follows.
         """
-        key = (left, right)
+        key = left << 32 | right
         known = self._pairs.get(key)
         if known is None:
-            known = self.merge(left + right) == ([left, right] if left else [right])
+            before = [self.surface[left]] if left >= 0 else []
+            known = self.merge("".join([*before, self.surface[right]])) == [*before, self.surface[right]]
             if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
             self._pairs[key] = known

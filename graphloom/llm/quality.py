@@ -26,7 +26,7 @@ DIMS = 4096
 STEPS = 10
 #: Buckets after the n-grams: repeated neighbours, distinct words, upper-case words, each in tenths.
 EXTRA = 3 * (STEPS + 1)
-PER_GRADE = 3000
+PER_GRADE = 2000
 #: Tail probability from which a text is selected; below it nearly all are of a lower grade.
 LEAST = 0.3
 

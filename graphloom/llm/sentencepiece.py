@@ -30,7 +30,7 @@ from .common import Remembered, text_slices, tokenizer_file
 from .pieces import UNIGRAM, PieceModel, load
 
 #: Words whose ids a worker remembers.
-REMEMBERED = 350_000
+REMEMBERED = 200_000
 
 
 def viterbi_states(model: PieceModel, words: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
@@ -68,28 +68,21 @@ def viterbi_states(model: PieceModel, words: list[str]) -> Iterator[tuple[str, l
 def merged_states(model: PieceModel, words: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
     """(word, start of the last piece that merging leaves at each end, its id or -1) of sorted words."""
     ends, stand = model.ends.get, model.stand
-    last, at, ids, before = [""], [0], [-1], ""
+    at, ids, before = [0], [-1], ""
     for word in words:
         shared = shared_prefix(before, word)
-        del last[shared + 1 :], at[shared + 1 :], ids[shared + 1 :]
+        del at[shared + 1 :], ids[shared + 1 :]
         for stop in range(shared + 1, len(word) + 1):
+            first, piece = stop - 1, -1
             for start in range(stop - 1, -1, -1):
-                piece = word[start:stop]
-                i = ends(piece)
+                i = ends(word[start:stop])
                 if i is None:
-                    last.append(word[stop - 1])
-                    at.append(stop - 1)
-                    ids.append(-1)
                     break
-                if i >= 0 and stand(last[start], piece):
-                    last.append(piece)
-                    at.append(start)
-                    ids.append(i)
+                if i >= 0 and stand(ids[start], i):
+                    first, piece = start, i
                     break
-            else:
-                last.append(word[stop - 1])
-                at.append(stop - 1)
-                ids.append(-1)
+            at.append(first)
+            ids.append(piece)
         yield word, at, ids
         before = word
 
@@ -129,7 +122,7 @@ class Encoder:
 
     def __init__(self, *models: PieceModel):
         self.models = models
-        self.known, self.parts = Remembered(REMEMBERED), Remembered(REMEMBERED)
+        self.known, self.parts = Remembered(REMEMBERED // 2), Remembered(REMEMBERED)
 
     def encode(self, texts: list[str | None]) -> list[list[bytes]]:
         """For each model the ids of each text as 32-bit integers."""

@@ -29,7 +29,7 @@ class WordCounter:
         self.model = model
         self.matches = ahocorasick.Automaton()
         for piece, i in model.ids.items():
-            self.matches.add_word(piece, (len(piece), i, piece))
+            self.matches.add_word(piece, (len(piece), i))
         self.matches.make_automaton()
         self.best = model.reading == UNIGRAM
 
@@ -41,7 +41,7 @@ class WordCounter:
 
     def _best_known(self, word: str) -> int:
         scores, score, count, done = self.model.scores, [0.0] * (len(word) + 1), [0] * (len(word) + 1), -1
-        for last, (length, i, _) in self.matches.iter(word):
+        for last, (length, i) in self.matches.iter(word):
             start = last + 1 - length
             other = score[start] + scores[i]
             if last != done or other > score[last + 1]:
@@ -49,12 +49,12 @@ class WordCounter:
         return count[-1]
 
     def _merged_known(self, word: str) -> int:
-        stand, piece, count, done = self.model.stand, [""] * (len(word) + 1), [0] * (len(word) + 1), -1
-        for last, (length, _, text) in self.matches.iter(word):
+        stand, piece, count, done = self.model.stand, [-1] * (len(word) + 1), [0] * (len(word) + 1), -1
+        for last, (length, i) in self.matches.iter(word):
             if last != done:
                 start = last + 1 - length
-                if stand(piece[start], text):
-                    piece[last + 1], count[last + 1], done = text, count[start] + 1, last
+                if stand(piece[start], i):
+                    piece[last + 1], count[last + 1], done = i, count[start] + 1, last
         return count[-1]
 
     def _unknown(self, char: str) -> int:
@@ -77,7 +77,7 @@ class WordCounter:
                         count[filled + 1] = count[filled] + self._unknown(word[filled])
                 filled += 1
 
-        for last, (length, i, _) in self.matches.iter(word):
+        for last, (length, i) in self.matches.iter(word):
             unmatched(last)
             start = last + 1 - length
             other = score[start] + scores[i]
@@ -88,7 +88,7 @@ class WordCounter:
 
     def _merged(self, word: str) -> int:
         model = self.model
-        piece: list[str | None] = [""] + [None] * len(word)
+        piece: list[int | None] = [-1] + [None] * len(word)
         count = [0] * (len(word) + 1)
         filled = 0
 
@@ -96,15 +96,15 @@ class WordCounter:
             nonlocal filled
             while filled < upto:
                 if piece[filled + 1] is None:
-                    piece[filled + 1], count[filled + 1] = word[filled], count[filled] + self._unknown(word[filled])
+                    piece[filled + 1], count[filled + 1] = -1, count[filled] + self._unknown(word[filled])
                 filled += 1
 
-        for last, (length, _, text) in self.matches.iter(word):
+        for last, (length, i) in self.matches.iter(word):
             unmatched(last)
             if piece[last + 1] is None:
                 start = last + 1 - length
-                if model.stand(piece[start], text):
-                    piece[last + 1], count[last + 1] = text, count[start] + 1
+                if model.stand(piece[start], i):
+                    piece[last + 1], count[last + 1] = i, count[start] + 1
         unmatched(len(word))
         return count[-1]
 
@@ -115,7 +115,7 @@ class Counter:
     def __init__(self, *models: PieceModel):
         self.words, self.parts_of = models[0].words, models[0].parts
         self.counters = [WordCounter(m) for m in models]
-        self.known, self.parts = Remembered(REMEMBERED), Remembered(REMEMBERED)
+        self.known, self.parts = Remembered(REMEMBERED // 2), Remembered(REMEMBERED)
 
     def counts(self, texts: list[str | None]) -> list[list[int]]:
         """For each model the number of pieces of each text."""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import Remembered, text_slices
 from .features import collect_features, labelled_sample
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -28,8 +28,8 @@ TERMS = 2048
 #: Likelihood ratio from which a term takes part.
 LEAST_RATIO = 11.0
 FACTORS = 4
-PER_CLASS = 3000
-REMEMBERED = 400_000
+PER_CLASS = 2000
+REMEMBERED = 150_000
 THRESHOLD = 0.3
 
 
@@ -121,18 +121,15 @@ class Scorer:
 
     def __init__(self, machine: FactorizationMachine):
         self.machine = machine
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Remembered(REMEMBERED)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         place, out = self.machine.place, np.empty(len(texts))
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        for k, text in enumerate(texts):
-            words = set(WORDS.findall((text or "").lower()))
-            for w in words:
-                if w not in known:
-                    known[w] = tuple(place[t] for t in terms_of(w) if t in place)
+        split = [set(WORDS.findall((text or "").lower())) for text in texts]
+        new = self.known.missing(set().union(*split))
+        known = self.known.young
+        known.update((w, tuple(place[t] for t in terms_of(w) if t in place)) for w in new)
+        for k, words in enumerate(split):
             out[k] = self.machine.score(sorted({t for w in words for t in known[w]}))
         return out
 
