@@ -56,6 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{out}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         if used is not None:
-            remove_dir(used)
+            remove_dir(spark, used)
         docs, used = spark.read.parquet(path), path
     return docs
