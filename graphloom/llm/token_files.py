@@ -37,7 +37,7 @@ PERCENTILE = 0.9
 #: Blocks that are packed or unpacked together.
 TOGETHER = 512
 #: Pieces in one generation of what a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 #: Cuts given to the library as one text, whose tokens it describes at some length.
 LINES = 10_000
 
