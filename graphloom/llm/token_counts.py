@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import Remembered, text_slices, tokenizer_file
 from .pieces import UNIGRAM, PieceModel, load
-from .sentencepiece import REMEMBERED
+
+#: Words, and parts of words, in one generation of what a worker remembers.
+REMEMBERED = 400_000
 
 
 class WordCounter:
@@ -115,7 +117,7 @@ class Counter:
     def __init__(self, *models: PieceModel):
         self.words, self.parts_of = models[0].words, models[0].parts
         self.counters = [WordCounter(m) for m in models]
-        self.known, self.parts = Remembered(REMEMBERED // 2), Remembered(REMEMBERED)
+        self.known, self.parts = Remembered(REMEMBERED), Remembered(REMEMBERED)
 
     def counts(self, texts: list[str | None]) -> list[list[int]]:
         """For each model the number of pieces of each text."""
