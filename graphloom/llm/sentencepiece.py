@@ -30,7 +30,7 @@ from .common import Remembered, text_slices, tokenizer_file
 from .pieces import UNIGRAM, PieceModel, load
 
 #: Words whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 
 
 def viterbi_states(model: PieceModel, words: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
