@@ -67,9 +67,15 @@ def copurchase(spark: SparkSession, sf_dir: str) -> Hypergraph:
     return Hypergraph.from_dataframe(rows)
 
 
-def copurchase_pairs(spark: SparkSession, sf_dir: str, least: int) -> PropertyGraph:
-    """Parts in one order, both in lines of at least that quantity. Undirected; parts without a pair are left out."""
-    line = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= least).select("l_orderkey", "l_partkey")
+def lines(spark: SparkSession, sf_dir: str, least: int | None) -> DataFrame:
+    """The lines of at least that quantity; all of them if it is None."""
+    line = table(spark, sf_dir, "lineitem")
+    return line if least is None else line.where(F.col("l_quantity") >= least)
+
+
+def copurchase_pairs(spark: SparkSession, sf_dir: str, least: int | None) -> PropertyGraph:
+    """Parts in one order, both in lines of at least that quantity (None: any). Undirected; parts without a pair are left out."""
+    line = lines(spark, sf_dir, least).select("l_orderkey", "l_partkey")
     a, b = line.withColumnRenamed("l_partkey", "src"), line.withColumnRenamed("l_partkey", "dst")
     rows = a.join(b, "l_orderkey").where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
     rows = in_order(rows, F.col("src"), F.col("dst"))
@@ -88,9 +94,9 @@ cv AS (SELECT src AS id FROM ce UNION SELECT dst FROM ce),
 ca AS (SELECT src, dst, weight FROM ce UNION ALL SELECT dst, src, weight FROM ce)"""
 
 
-def part_seq(spark: SparkSession, sf_dir: str, least: int = 40) -> PropertyGraph:
-    """The next part inside an order. Directed, with cycles."""
-    line = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= least)
+def part_seq(spark: SparkSession, sf_dir: str, least: int | None = 40) -> PropertyGraph:
+    """The next part inside an order, among lines of at least that quantity (None: any). Directed, with cycles."""
+    line = lines(spark, sf_dir, least)
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     rows = line.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst is not null and src <> dst").distinct()
     ids = rows.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("ord", F.col("id"))
