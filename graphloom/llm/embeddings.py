@@ -2,13 +2,15 @@
 
 Vectors are compared within a label (and dimension).  Two steps:
 
-1. Candidates.  A vector's code is the signs of its coordinates after seeded random
-   rotations.  Each bit of two vectors at the threshold cosine c differs with probability
-   p = acos(c) / pi, so they agree on k random bits with probability (1 - p)^k; there are
-   as many tables of k bits as it takes to meet in none of them with at most ``miss``
-   probability.  Vectors that meet and whose whole codes are within the confidence radius
-   are candidates; a spanning forest of them leaves each task, and its components hold
-   every linked pair.
+1. Candidates.  The sides of a seeded normal hyperplane on which two vectors at the
+   threshold cosine c lie differ with probability p = acos(c) / pi.  A table's key is k
+   sides, of hyperplanes drawn for that table alone, so two vectors agree on it with
+   probability (1 - p)^k independently of the other tables; there are as many tables as it
+   takes to meet in none of them with at most half of ``miss``.  A vector's code is the
+   signs of its coordinates after seeded random rotations.  Vectors that meet and whose
+   codes are within a radius that a binomial distance exceeds with at most a quarter of
+   ``miss`` are candidates; a spanning forest of them leaves each task, and its components
+   hold every linked pair.
 2. Verification.  Within a component the inner product of a vector q and a coded vector o
    is estimated without bias by <code(o), q> / <code(o), o>, whose divisor is the stored
    correction factor; the error bound is ``SIGMAS`` * sqrt((1 - f^2) / f^2 / (d - 1)).
@@ -35,7 +37,7 @@ from .common import Forest, sorted_runs, split_hot
 
 COSINE = 0.98
 MISS = 1e-7
-#: Standard deviations to which codes and estimates are trusted.
+#: Standard deviations to which estimates are trusted.
 SIGMAS = 5.5
 #: Bits of a code, at least.
 CODE_BITS = 128
@@ -65,11 +67,29 @@ def tables_for(vectors: int, cosine: float, miss: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(miss) / math.log(1 - meet))
 
 
-def table_bits(dim: int, bits: int, count: int) -> np.ndarray:
-    """The code bits of each table, (tables, bits)."""
-    rng = np.random.default_rng(977 + dim)
-    width = rotations(dim).shape[1]
-    return np.stack([rng.choice(width, bits, replace=False) for _ in range(count)])
+@lru_cache(maxsize=4)
+def planes(dim: int, bits: int, count: int) -> np.ndarray:
+    """Seeded normal hyperplanes, each table's own, (tables, dim, bits)."""
+    return np.random.default_rng(977 + dim).normal(size=(count, dim, bits))
+
+
+def table_keys(units: np.ndarray, bits: int, count: int) -> np.ndarray:
+    """The key of each row in each table, (rows, tables)."""
+    place = 1 << np.arange(bits)
+    return np.stack([((units @ own) > 0) @ place for own in planes(units.shape[1], bits, count)], axis=1)
+
+
+@lru_cache(maxsize=64)
+def radius_for(width: int, cosine: float, miss: float) -> int:
+    """The least distance that codes of ``width`` bits at the cosine exceed with at most ``miss`` probability, bits being independent."""
+    differ = math.acos(cosine) / math.pi
+    tail, r = 0.0, width
+    while r > 0:
+        tail += math.exp(math.lgamma(width + 1) - math.lgamma(r + 1) - math.lgamma(width - r + 1) + r * math.log(differ) + (width - r) * math.log1p(-differ))
+        if tail > miss:
+            break
+        r -= 1
+    return r
 
 
 def _prepared(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -102,8 +122,7 @@ def _candidates(rows: DataFrame, cosine: float, miss: float) -> DataFrame:
     """(u, v) edges whose components hold all pairs at or above the threshold."""
     usable = rows.where("dim > 0")
     most = usable.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    bits, count = tables_for(most, cosine, miss)
-    differ = math.acos(cosine) / math.pi
+    bits, count = tables_for(most, cosine, miss / 2)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,9 +130,9 @@ def _candidates(rows: DataFrame, cosine: float, miss: float) -> DataFrame:
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
                 vectors = np.array(batch.column("vector").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), dtype=float)
-                signs = codes(unit(vectors.reshape(-1, dim)))
-                packed = np.packbits(signs, axis=1, bitorder="little")
-                keys = signs[:, table_bits(dim, bits, count)] @ (1 << np.arange(bits))
+                units = unit(vectors.reshape(-1, dim))
+                packed = np.packbits(codes(units), axis=1, bitorder="little")
+                keys = table_keys(units, bits, count)
                 n = len(at)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -142,7 +161,9 @@ def _candidates(rows: DataFrame, cosine: float, miss: float) -> DataFrame:
                 at = np.flatnonzero(widths == w)
                 raw = np.frombuffer(b"".join(cols["code"][at]), np.uint8).reshape(-1, w)
                 code[at, : -(-w // 8)] = np.pad(raw, ((0, 0), (0, -w % 8))).view("<u8")
-            radius = np.ceil(8 * widths * differ + SIGMAS * np.sqrt(8 * widths * differ * (1 - differ)))
+            radius = np.zeros(len(widths), dtype=np.int64)
+            for w in np.unique(widths).tolist():
+                radius[widths == w] = radius_for(8 * w, cosine, miss / 4)
             forest, left, step = Forest(len(run)), np.arange(len(run)), 1
             lab = forest.labels()
             while True:

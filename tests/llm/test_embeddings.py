@@ -81,3 +81,29 @@ def test_tables_meet():
     bits, count = embeddings.tables_for(1_000_000, 0.98, 1e-7)
     p = math.acos(0.98) / math.pi
     assert (1 - (1 - p) ** bits) ** count <= 1e-7 and bits == 12
+
+
+def at_cosine(n, dim, cosine, seed):
+    """Pairs of unit vectors at the cosine."""
+    rng = np.random.default_rng(seed)
+    x, y = (embeddings.unit(rng.normal(size=(n, dim))) for _ in range(2))
+    y = embeddings.unit(y - (x * y).sum(axis=1, keepdims=True) * x)
+    return x, cosine * x + math.sqrt(1 - cosine**2) * y
+
+
+@pytest.mark.parametrize("vectors", [2_000, 1_000_000])
+def test_pairs_at_the_threshold_meet(vectors):
+    """Tables of one label so large are independent, and few codes are apart."""
+    bits, count = embeddings.tables_for(vectors, 0.98, 0.5e-7)
+    x, y = at_cosine(200_000, 64, 0.98, 11)
+    for a in range(0, len(x), 20_000):
+        u, v = x[a : a + 20_000], y[a : a + 20_000]
+        assert (embeddings.table_keys(u, bits, count) == embeddings.table_keys(v, bits, count)).any(axis=1).all()
+        apart = (embeddings.codes(u) != embeddings.codes(v)).sum(axis=1)
+        assert (apart <= embeddings.radius_for(128, 0.98, 0.25e-7)).all()
+
+
+def test_radius_bounds_the_tail():
+    p, r = math.acos(0.98) / math.pi, embeddings.radius_for(128, 0.98, 0.25e-7)
+    tails = [sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(q + 1, 129)) for q in (r, r - 1)]
+    assert tails[0] <= 0.25e-7 < tails[1]
