@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from .common import text_slices
 
 WORDS = re.compile(r"\w+")
@@ -182,11 +183,11 @@ class BenchmarkIndex:
         return out
 
 
-def _parts(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items, so many at a time."""
-    rows = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull())
+def _parts(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> Iterator[list[tuple[int | None, str]]]:
+    """The benchmark's distinct items in the order of their ids, null ids first, so many at a time."""
+    rows = benchmark.where(F.col(text_col).isNotNull())
     rows = rows.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).distinct().orderBy("i", "t")
-    part: list[tuple[int, str]] = []
+    part: list[tuple[int | None, str]] = []
     for row in rows.toLocalIterator():
         part.append((row.i, row.t))
         if len(part) == size:
@@ -196,15 +197,25 @@ def _parts(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> Ite
         yield part
 
 
-def _indexed(items: list[tuple[int, str]], shingle: int, threshold: float, radius: int):
-    """A function that gives each worker its index, built once in a task."""
+def _indexed(items: list[tuple[int | None, str]], shingle: int, threshold: float, radius: int):
+    """A function that gives each worker its index, built once in a task; items go by their positions, as ids may repeat."""
 
     def build() -> BenchmarkIndex:
-        return BenchmarkIndex(items, shingle, threshold, radius)
+        return BenchmarkIndex([(k, t) for k, (_, t) in enumerate(items)], shingle, threshold, radius)
 
     return build
 
 
+def best_by_id(matches: dict[int, tuple[float, int]], items: list[tuple[int | None, str]]) -> list[tuple[int | None, float, int]]:
+    """(item id, similarity, first word), the best for each id: the most similar, of equal ones the first."""
+    best: dict[int | None, tuple[float, int]] = {}
+    for k, (s, w) in matches.items():
+        i = items[k][0]
+        if i not in best or (s, -w) > (best[i][0], -best[i][1]):
+            best[i] = (s, w)
+    return [(i, *best[i]) for i in sorted(best, key=lambda i: (i is not None, i or 0))]
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -220,31 +231,42 @@ def contaminated(
 
     Only documents that hold an item have rows.  The benchmark goes to the workers in slices
     of ``SLICE_ITEMS`` items, one pass over the documents for each, so what is sent has a
-    bound whatever its size.  Null and empty texts and items without words match nothing;
-    items that share an id should not exist, and of such the last by text counts; repeated
-    documents are repeated; a null id stays.  Other columns are not looked at.
+    bound whatever its size.  Null and empty texts and items without words match nothing.
+    Every text of the benchmark counts: texts that share an id give one row, the best, and
+    so do all whose id is null, with a null item.  Repeated documents are repeated; a null
+    id stays.  Other columns are not looked at.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = "id long, item long, similarity double, first_word long"
+    parts = list(_parts(benchmark, item_col, item_text_col, SLICE_ITEMS))
+    # an id whose texts fall in two slices needs its best row found, which takes numbered documents
+    shared = any(a[-1][0] == b[0][0] for a, b in zip(parts, parts[1:]))
+    number = F.monotonically_increasing_id() if shared else F.lit(0).cast("long")
+    source = docs.select(number.alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = cut(source) if shared else source
+    schema = "rid long, id long, item long, similarity double, first_word long"
     found = None
-    for items in _parts(benchmark, item_col, item_text_col, SLICE_ITEMS):
+    for items in parts:
         build = _indexed(items, shingle, threshold, radius)
 
-        def run(batches: Iterator[pa.RecordBatch], build=build) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], build=build, items=items) -> Iterator[pa.RecordBatch]:
             index = build()
             for part, texts in text_slices(batches, "text"):
-                ids = part.column(0).to_pylist()
-                rows = [(d, i, s, w) for d, t in zip(ids, texts) for i, (s, w) in sorted(index.matches(t).items())]
+                numbers, ids = part.column(0).to_pylist(), part.column(1).to_pylist()
+                rows = [(n, d, *m) for n, d, t in zip(numbers, ids, texts) for m in best_by_id(index.matches(t), items)]
                 if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
                     columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-                    yield pa.RecordBatch.from_arrays(columns, ["id", "item", "similarity", "first_word"])
+                    yield pa.RecordBatch.from_arrays(columns, ["rid", "id", "item", "similarity", "first_word"])
 
         part = source.mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema)
-    return found.withColumnsRenamed({"id": id_col, "item": item_col})
+    if shared:
+        best = F.max(F.struct("similarity", (-F.col("first_word")).alias("back"))).alias("best")
+        found = found.groupBy("rid", "id", "item").agg(best).select(
+            "rid", "id", "item", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("first_word")
+        )
+    return found.drop("rid").withColumnsRenamed({"id": id_col, "item": item_col})
 
 
 def remove_contaminated(
@@ -260,6 +282,7 @@ def remove_contaminated(
     """``docs`` without the rows whose text holds a benchmark item, in one narrow pass per slice of items.
 
     All columns stay as they are, whatever their names, and rows with null or empty texts stay.
+    Every text of the benchmark counts, whatever its id.
     """
     kept = docs
     for items in _parts(benchmark, item_col, item_text_col, SLICE_ITEMS):

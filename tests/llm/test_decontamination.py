@@ -77,3 +77,19 @@ def test_frames(spark, odd_docs, no_docs, monkeypatch, size):
     assert dec.contaminated(no_docs, benchmark).count() == 0
     assert dec.contaminated(docs, benchmark.limit(0)).count() == 0
     assert dec.remove_contaminated(odd_docs, benchmark.limit(0)).count() == odd_docs.count()
+
+
+@pytest.mark.parametrize("size", [1500, 2])
+def test_every_text_of_the_benchmark_counts(spark, monkeypatch, size):
+    """Texts that share an id, and texts without one, in one slice and over several."""
+    monkeypatch.setattr(dec, "SLICE_ITEMS", size)
+    texts = [prose(2000 + k, 20) for k in range(8)]
+    ids = [1, 1, 1, None, None, None, 2, 2]
+    benchmark = spark.createDataFrame(list(zip(ids, texts)), "item_id long, text string")
+    near = " ".join([*texts[0].split()[:-1], "other"])
+    rows = [(k, f"{prose(3000 + k, 10)} {t}") for k, t in enumerate(texts)]
+    rows += [(20, f"{near} {texts[1]}"), (21, texts[3]), (21, texts[3]), (None, texts[6]), (22, prose(9, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = [(k, i, 1.0, 10) for k, i in enumerate(ids)] + [(20, 1, 1.0, 20), (21, None, 1.0, 0), (21, None, 1.0, 0), (None, 2, 1.0, 0)]
+    assert sorted(map(str, map(tuple, dec.contaminated(docs, benchmark).collect()))) == sorted(map(str, expected))
+    assert [r.doc_id for r in dec.remove_contaminated(docs, benchmark).collect()] == [22]
