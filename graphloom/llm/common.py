@@ -25,20 +25,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_slices(
-    batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTES
-) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of the batches with their texts; a slice holds ``limit`` bytes, or one longer text."""
+def column_slices(
+    batches: Iterable[pa.RecordBatch], text: int | str, limit: int = SLICE_BYTES
+) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of the batches with their text columns; a slice holds ``limit`` bytes, or one longer text."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(batch.schema.get_field_index(text))
+        column = batch.column(text)
         sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
         # a row belongs to the slice in which its first byte lies
         starts = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)[:-1])) // limit
         cuts = np.flatnonzero(np.diff(starts)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
-            yield batch.slice(a, b - a), column.slice(a, b - a).to_pylist()
+            yield batch.slice(a, b - a), column.slice(a, b - a)
+
+
+def text_slices(
+    batches: Iterable[pa.RecordBatch], text: int | str, limit: int = SLICE_BYTES
+) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of the batches with their texts."""
+    for part, column in column_slices(batches, text, limit):
+        yield part, column.to_pylist()
+
+
+def position_of(docs: DataFrame, name: str) -> int:
+    """The place of a column, found as Spark finds it: by its exact name if there is one, else whatever the case."""
+    own = [k for k, c in enumerate(docs.columns) if c == name]
+    found = own or [k for k, c in enumerate(docs.columns) if c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{name!r} names {len(found)} of the columns {docs.columns}")
+    return found[0]
 
 
 def sorted_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:

@@ -8,14 +8,13 @@ from functools import lru_cache
 MARK = "▁"
 RUNS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 LINES = re.compile("(\n)")
-#: Runs of letters, with the marks before them, and runs of anything else.
-PARTS = re.compile(f"{MARK}*[^\\W\\d_]+|[\\W\\d_]+")
-LETTER = re.compile(r"[^\W\d_]")
 UNIGRAM, BPE = "unigram", "bpe"
 #: The tokenizer library's fixed penalty of an unknown character below the lowest score.
 UNKNOWN_PENALTY = 10.0
 #: Remembered pairs of pieces.
 PAIRS = 1_000_000
+#: The score of what is no piece.
+NEVER = float("-inf")
 
 
 class PieceModel:
@@ -47,21 +46,18 @@ class PieceModel:
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kind.NORMAL}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == kind.UNKNOWN)
         self.byte_ids = [i for i, p in enumerate(model.pieces) if p.type == kind.BYTE] if spec.byte_fallback else []
-        self.longest = max(map(len, self.ids))
-        self.chars = frozenset(p for p in self.ids if len(p) == 1)
-        #: Every end of a piece -> the id of the piece it is, or -1: what is no key ends no piece.
-        self.ends = {p[k:]: -1 for p in self.ids for k in range(len(p))} | self.ids
+        if self.reading == BPE and any(c not in self.ids for p in self.ids for c in p):
+            raise ValueError(f"{path}: a merging vocabulary must have its pieces' characters")
         self.unknown_score = min(self.scores[i] for i in self.ids.values()) - UNKNOWN_PENALTY
         #: A mark after another character begins a word unless some piece holds both.
-        self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
+        self.splits = (bool(self.byte_ids) or MARK in self.ids) and not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         #: A line break is in no piece, so it is a word of its own.
-        self.breaks = not any("\n" in p for p in self.ids)
-        #: No piece goes from a letter to another character or, but for marks, back, so words part there.
-        letters = {p: [bool(LETTER.match(c)) for c in p.lstrip(MARK)] for p in self.ids}
-        self.parts_apart = bool(self.byte_ids) and all(len(set(kinds)) < 2 for kinds in letters.values())
+        self.breaks = bool(self.byte_ids) and not any("\n" in p for p in self.ids)
         silent = {i for i, p in enumerate(model.pieces) if p.type == kind.CONTROL}
         self.spelt = [b"" if i in silent else self._spell(i, spec.unk_surface) for i in range(len(self.surface))]
-        self._pairs: dict[int, bool] = {}
+        self._sides: dict[int, dict[int, bool]] = {}
+        self._pairs = 0
+        self._merges: dict[int, list[tuple[float, str, str]] | None] = {}
 
     def _spell(self, i: int, unk_surface: str) -> bytes:
         if i == self.unknown:
@@ -86,10 +82,6 @@ class PieceModel:
             words = [x for w in words for x in (filter(None, LINES.split(w)) if "\n" in w else (w,))]
         return words
 
-    def parts(self, word: str) -> list[str]:
-        """The parts of a word that no piece joins; each is put together on its own."""
-        return PARTS.findall(word) if self.parts_apart else [word]
-
     def unknown_ids(self, char: str) -> list[int]:
         """The ids of a character that is in no piece: its bytes, or the unknown id."""
         if self.byte_ids:
@@ -106,20 +98,33 @@ class PieceModel:
 
     # -- merging ----------------------------------------------------------------------------
 
-    def merge(self, text: str) -> list[str]:
-        """The pieces left when the best-scored neighbours are merged first, the leftmost of equals."""
-        parts = list(text)
-        ids, scores = self.ids, self.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or scores[i] > best):
-                    best, at = scores[i], k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+    def steps(self, text: str) -> tuple[list[tuple[float, str, str]], list[str]]:
+        """The merges of the best-scored neighbours, the leftmost of equals first, as (score, the first and the
+        last piece after it), and the pieces they leave."""
+        parts, ids, scores = list(text), self.ids, self.scores
+
+        def score(a: str, b: str) -> float:
+            i = ids.get(a + b)
+            return NEVER if i is None else scores[i]
+
+        pairs, done = list(map(score, parts, parts[1:])), []
+        while pairs and (best := max(pairs)) > NEVER:
+            k = pairs.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del pairs[k]
+            if k:
+                pairs[k - 1] = score(parts[k - 1], parts[k])
+            if k < len(pairs):
+                pairs[k] = score(parts[k], parts[k + 1])
+            done.append((best, parts[0], parts[-1]))
+        return done, parts
+
+    def merges_of(self, i: int) -> list[tuple[float, str, str]] | None:
+        """The merges that make a piece of its characters, or None if others are made of them."""
+        if i not in self._merges:
+            done, parts = self.steps(self.surface[i])
+            self._merges[i] = done if len(parts) == 1 else None
+        return self._merges[i]
 
     def stand(self, left: int, right: int) -> bool:
         """Whether merging leaves the two pieces side by side; with left -1, whether it makes the right one.
@@ -128,16 +133,48 @@ class PieceModel:
         sequence is the result of merging exactly if all its neighbours stand.  An unknown
         character merges with nothing, so it is -1 to what follows.
         """
-        key = left << 32 | right
-        known = self._pairs.get(key)
+        sides = self.neighbours(right)
+        known = sides.get(left)
         if known is None:
-            before = [self.surface[left]] if left >= 0 else []
-            known = self.merge("".join([*before, self.surface[right]])) == [*before, self.surface[right]]
-            if len(self._pairs) >= PAIRS:
-                self._pairs.clear()
-            self._pairs[key] = known
+            known = self._stand(left, right)
+            if self._pairs >= PAIRS:
+                for other in self._sides.values():
+                    other.clear()
+                self._pairs = 0
+            self._pairs += 1
+            sides[left] = known
         return known
 
+    def _stand(self, left: int, right: int) -> bool:
+        """Plays both pieces' merges in the order of scores; they stand if no merge over their border comes first."""
+        after = self.merges_of(right)
+        if left < 0 or after is None:
+            return after is not None
+        before = self.merges_of(left)
+        if before is None:
+            return False
+        ids, scores = self.ids, self.scores
+        last, first, a, b = self.surface[left][-1], self.surface[right][0], 0, 0
+        while True:
+            i = ids.get(last + first)
+            over = NEVER if i is None else scores[i]
+            own = before[a][0] if a < len(before) else NEVER
+            other = after[b][0] if b < len(after) else NEVER
+            if over > own and over >= other:
+                return False
+            if own == other == NEVER:
+                return True
+            if own >= other:
+                last = before[a][2]
+                a += 1
+            else:
+                first = after[b][1]
+                b += 1
+
+    def neighbours(self, right: int) -> dict[int, bool]:
+        """What is remembered of ``stand`` for a right piece, by the left one."""
+        return self._sides.setdefault(right, {})
+
 
 @lru_cache(maxsize=8)
 def load(path: str, reading: str | None = None) -> PieceModel:

@@ -1,152 +1,132 @@
-"""SentencePiece encoding and decoding over the shared prefixes of a batch's words.
+"""SentencePiece encoding and decoding over the shared prefixes of a slice's words.
 
-The distinct marked words of a slice are sorted, which lays their trie out depth first:
-each word keeps the forward states of the prefix it shares with the word before it and
-adds only its own characters.  The states are
-
-* for a unigram reading, Viterbi: the best score of each prefix, the first found of equal
-  scores (pieces are tried from the earliest start on, as the library does);
-* for a merging (BPE) reading, the one last piece that merging leaves at the end of the
-  prefix.  No path of best scores gives merged pieces, so this state takes the place of
-  the score; it depends on the prefix alone and is shared in the same way.
-
-Scores are added in double precision within a word.  The library adds them in single
-precision over the whole text, so on a unigram reading of long texts it can round ties.
+The distinct marked words of a slice are sorted, which lays their trie out depth first, and
+the forward states of common prefixes are reused (see ``forward``).  Each distinct word is
+encoded, and what its ids spell compared with it, once a slice; the ids of whole texts are
+laid end to end from those of their words.
 """
 
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, text_slices, tokenizer_file
-from .pieces import UNIGRAM, PieceModel, load
+from .common import Remembered, column_slices, tokenizer_file
+from .distinct import laid_out, numbered, rows_in_order
+from .forward import Forward
+from .pieces import MARK, UNIGRAM, PieceModel, load
 
 #: Words whose ids a worker remembers.
-REMEMBERED = 300_000
-
-
-def viterbi_states(model: PieceModel, words: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
-    """(word, start of the last piece at each end, its id or -1) of sorted words.
-
-    Starts are tried from the latest back, so the earliest of equal scores is taken last.  A
-    character that is no piece may also stand alone at the unknown score.
-    """
-    ends, scores, known, unknown = model.ends.get, model.scores, model.ids, model.unknown_score
-    best, at, ids, before = [0.0], [0], [-1], ""
-    for word in words:
-        shared = shared_prefix(before, word)
-        del best[shared + 1 :], at[shared + 1 :], ids[shared + 1 :]
-        for stop in range(shared + 1, len(word) + 1):
-            top, first, piece = None, stop - 1, -1
-            for start in range(stop - 1, -1, -1):
-                i = ends(word[start:stop])
-                if i is None:
-                    break
-                if i >= 0:
-                    score = best[start] + scores[i]
-                    if top is None or score >= top:
-                        top, first, piece = score, start, i
-            if word[stop - 1] not in known:
-                score = best[stop - 1] + unknown
-                if top is None or score > top:
-                    top, first, piece = score, stop - 1, -1
-            best.append(top)
-            at.append(first)
-            ids.append(piece)
-        yield word, at, ids
-        before = word
-
-
-def merged_states(model: PieceModel, words: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
-    """(word, start of the last piece that merging leaves at each end, its id or -1) of sorted words."""
-    ends, stand = model.ends.get, model.stand
-    at, ids, before = [0], [-1], ""
-    for word in words:
-        shared = shared_prefix(before, word)
-        del at[shared + 1 :], ids[shared + 1 :]
-        for stop in range(shared + 1, len(word) + 1):
-            first, piece = stop - 1, -1
-            for start in range(stop - 1, -1, -1):
-                i = ends(word[start:stop])
-                if i is None:
-                    break
-                if i >= 0 and stand(ids[start], i):
-                    first, piece = start, i
-                    break
-            at.append(first)
-            ids.append(piece)
-        yield word, at, ids
-        before = word
-
-
-def shared_prefix(a: str, b: str) -> int:
-    """Length of the common prefix."""
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
-def encode_words(model: PieceModel, words: list[str]) -> Iterator[tuple[str, bytes]]:
-    """(word, ids as 32-bit integers) of sorted words."""
-    for word, at, ids in (viterbi_states if model.reading == UNIGRAM else merged_states)(model, words):
-        found, end = [], len(word)
-        while end:
-            i = ids[end]
-            if i >= 0:
-                found.append(i)
-            else:
-                found += reversed(model.unknown_ids(word[at[end] : end]))
-            end = at[end]
-        found.reverse()
-        if not model.byte_ids:
-            found = [i for k, i in enumerate(found) if not (k and i == found[k - 1] == model.unknown)]
-        yield word, array("i", found).tobytes()
+REMEMBERED = 250_000
+#: Text bytes whose words are sorted together: the more, the longer the prefixes they share.
+TOGETHER = 16 << 20
+#: Stands between words; no UTF-8 has this byte.
+BORDER = b"\xff"
+#: Begins a word that has no mark.
+BARE = "\0"
+
+
+class Words:
+    """The marked words of a slice of texts, for a vocabulary."""
+
+    def __init__(self, model: PieceModel, column: pa.Array):
+        self.model, self.column = model, pc.fill_null(column, "")
+        self.plain = self._plain()
+        rows = self.column.filter(pa.array(self.plain))
+        items, self.index, self.ends = numbered(pc.replace_substring(rows, "\n", f" {BARE}\n {BARE}"))
+        self.items = [w[1:] if w[:1] == BARE else MARK + w for w in items]
+        #: The words of the other rows.
+        self.odd = {int(k): model.words(self.column[int(k)].as_py()) for k in np.flatnonzero(~self.plain)}
+
+    def _plain(self) -> np.ndarray:
+        """Whether a text's words are what stands between its single spaces and line breaks."""
+        column = self.column
+        if not (self.model.splits and self.model.breaks and self.model.dummy_prefix):
+            return np.zeros(len(column), dtype=bool)
+        odd = pc.or_(pc.starts_with(column, " "), pc.equal(column, ""))
+        for mark in ("  ", MARK, BARE):
+            odd = pc.or_(odd, pc.match_substring(column, mark))
+        return ~odd.to_numpy(zero_copy_only=False)
+
+    def distinct(self) -> set[str]:
+        return set(self.items).union(*self.odd.values())
 
 
 class Encoder:
-    """Encodes slices of texts by one or more models that share their words.
-
-    It remembers the words and the parts of words it has met, each with its ids by every model.
-    """
-
-    def __init__(self, *models: PieceModel):
-        self.models = models
-        self.known, self.parts = Remembered(REMEMBERED // 2), Remembered(REMEMBERED)
-
-    def encode(self, texts: list[str | None]) -> list[list[bytes]]:
-        """For each model the ids of each text as 32-bit integers."""
-        first = self.models[0]
-        split = [first.words(t) for t in texts]
-        new = {w: first.parts(w) for w in self.known.missing(set().union(*split))}
-        unmet = sorted(self.parts.missing({p for parts in new.values() for p in parts}))
-        found = [[ids for _, ids in encode_words(m, unmet)] for m in self.models]
-        self.parts.young.update(zip(unmet, zip(*found)))
-        part, known = self.parts.young.__getitem__, self.known.young
-        for w, parts in new.items():
-            known[w] = part(parts[0]) if len(parts) == 1 else tuple(map(b"".join, zip(*map(part, parts))))
-        out: list[list[bytes]] = [[] for _ in self.models]
-        for words in split:
-            met = list(map(known.__getitem__, words))
-            for k, column in enumerate(out):
-                column.append(b"".join([m[k] for m in met]))
-        return out
+    """Encodes slices of texts by one or more readings of a vocabulary, remembering words it has met."""
+
+    def __init__(self, model: PieceModel, *readings: str):
+        self.model, self.readings = model, readings or (model.reading,)
+        self.forward = Forward(model, self.readings)
+        self.known = Remembered(REMEMBERED)
+
+    def _spell_well(self, words: list[str], ids: list[bytes]) -> np.ndarray:
+        """Whether each word's ids spell it, looked at one by one only if not all of them do."""
+        flat, ends = np.frombuffer(b"".join(ids), "<i4"), np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+        spelt = [*self.model.spelt, BORDER]
+        got = b"".join([spelt[i] for i in np.insert(flat, ends, len(spelt) - 1).tolist()])
+        want = (BORDER.decode("utf-8", "surrogateescape").join([*words, ""])).replace(MARK, " ").encode("utf-8", "surrogateescape")
+        if got == want:
+            return np.ones(len(words), dtype=bool)
+        return np.array([a == b for a, b in zip(got.split(BORDER), want.split(BORDER))][:-1], dtype=bool)
+
+    def learn(self, words: set[str]) -> None:
+        """Makes ``known`` hold the words: a reading's ids each, and whether all of them spell the word."""
+        new = sorted(self.known.missing(words))
+        if not new:
+            return
+        walked = list(self.forward.walk(new))
+        columns = [[w[1 if r == UNIGRAM else 2] for w in walked] for r in self.readings]
+        good = np.logical_and.reduce([self._spell_well(new, c) for c in columns])
+        self.known.young.update(zip(new, zip(*columns, good.tolist())))
+
+    def encode(self, column: pa.Array, check: bool = False) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray | None]:
+        """For each reading (ids of the texts end to end, where each ends, from 0 on); and
+        whether each text's ids give it back, if that is to be checked."""
+        words = Words(self.model, column)
+        self.learn(words.distinct())
+        known, out = self.known.young, []
+        met = list(map(known.__getitem__, words.items))
+        for k in range(len(self.readings)):
+
+            def plain(k=k):
+                return laid_out([m[k] for m in met], words.index, words.ends, "<i4")
+
+            def odd(row: int, k=k):
+                return np.frombuffer(b"".join([known[w][k] for w in words.odd[row]]), "<i4")
+
+            out.append(rows_in_order(words.plain, plain, odd))
+        return out, self._gives_back(words, met, out) if check else None
+
+    def _gives_back(self, words: Words, met: list[tuple], out: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Whether decoding gives each text back: its words are spelt one after another, so it does if each of them
+        is; any other text is decoded whole."""
+        good = np.array([m[-1] for m in met], dtype=bool)
+        wrong = np.concatenate(([0], np.cumsum(~good[words.index])))[words.ends]
+        sure = np.zeros(len(words.plain), dtype=bool)
+        sure[words.plain] = np.diff(wrong) == 0
+        for k in np.flatnonzero(~sure).tolist():
+            text = words.column[k].as_py()
+            sure[k] = all(self.model.decode(ids[ends[k] : ends[k + 1]].tolist()) == text for ids, ends in out)
+        return sure
 
 
 @lru_cache(maxsize=4)
 def encoder_of(path: str, *readings: str | None) -> Encoder:
-    """One encoder for all the tasks of a worker."""
-    return Encoder(*(load(path, r) for r in readings))
+    """One encoder for all the tasks of a worker; None is the reading that the file was trained for."""
+    model = load(path)
+    return Encoder(model, *(r or model.reading for r in readings))
+
+
+def id_lists(ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
 
 
 def encode(
@@ -161,11 +141,9 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path, reading)
-        for part, texts in text_slices(batches, "text"):
-            (ids,) = encoder.encode(texts)
-            ends = np.cumsum([0, *[len(x) // 4 for x in ids]], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "ids"])
+        for part, column in column_slices(batches, 1, TOGETHER):
+            ((ids, ends),), _ = encoder.encode(column)
+            yield pa.RecordBatch.from_arrays([part.column(0), id_lists(ids, ends)], ["id", "ids"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
@@ -189,32 +167,24 @@ def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "text", model:
 def digests(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model"
 ) -> DataFrame:
-    """Per row: n_ids and ids_crc32 of the encoding, whether decoding it gives the text back,
+    """Per row: its ids, their number n_ids and crc32 ids_crc32, whether decoding them gives the text back,
     and viterbi_n and viterbi_crc32 of the same vocabulary's best-score paths.
 
-    Encoding and decoding run in one pass, so neither ids nor texts leave the worker.  Null
-    and empty texts have no ids, crc32 0, and come back.
+    Encoding and decoding run in one pass.  Null and empty texts have no ids, crc32 0, and
+    come back.
     """
     path = tokenizer_file(model)
+    names = ["id", "n_ids", "ids_crc32", "viterbi_n", "viterbi_crc32", "round_trip", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path, None, UNIGRAM)
-        own, best = encoder.models
-        for part, texts in text_slices(batches, "text"):
-            ids, paths = encoder.encode(texts)
-            back = [
-                all(m.decode(np.frombuffer(x, dtype="<i4").tolist()) == (t or "") for m, x in ((own, a), (best, b)))
-                for t, a, b in zip(texts, ids, paths)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    *(pa.array([f(x) for x in column], pa.int64()) for column in (ids, paths) for f in (lambda x: len(x) // 4, zlib.crc32)),
-                    pa.array(back),
-                ],
-                ["id", "n_ids", "ids_crc32", "viterbi_n", "viterbi_crc32", "round_trip"],
-            )
+        for part, column in column_slices(batches, 1, TOGETHER):
+            found, back = encoder.encode(column, check=True)
+            columns = [part.column(0)]
+            for ids, ends in found:
+                columns += [pa.array(np.diff(ends)), pa.array([zlib.crc32(ids[a:b]) for a, b in zip(ends, ends[1:])], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(back), id_lists(*found[0])], names)
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = "id long, n_ids long, ids_crc32 long, viterbi_n long, viterbi_crc32 long, round_trip boolean"
+    schema = "id long, n_ids long, ids_crc32 long, viterbi_n long, viterbi_crc32 long, round_trip boolean, ids array<int>"
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -1,10 +1,10 @@
-"""Token counts without token ids, by one pass of an Aho-Corasick automaton over each distinct word.
+"""Token counts without token ids: an Aho-Corasick automaton over the distinct words of a slice.
 
-The automaton enumerates, for each end in a word, the vocabulary pieces that end there,
-the longest first.  Dynamic programming over the ends carries only what the count needs:
-for a unigram reading the best score and its number of pieces, the first found of equal
-scores; for a merging (BPE) reading, which has no scores to add, the last piece that
-merging leaves and its number of pieces.  No path is kept and no ids are made.
+For each place in a word the automaton enumerates the vocabulary pieces that end there (see
+``forward``).  Dynamic programming over the places carries only what the count needs: for a
+unigram reading the best score and its number of pieces, the first found of equal scores; for
+a merging (BPE) reading, which has no scores to add, the last piece that merging leaves and
+its number of pieces.  No path is kept and no ids are made.
 """
 
 from __future__ import annotations
@@ -12,134 +12,54 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, text_slices, tokenizer_file
+from .common import Remembered, column_slices, tokenizer_file
+from .forward import Forward
 from .pieces import UNIGRAM, PieceModel, load
+from .sentencepiece import TOGETHER, Words
 
-#: Words, and parts of words, in one generation of what a worker remembers.
+#: Words in one generation of what a worker remembers.
 REMEMBERED = 400_000
 
 
-class WordCounter:
-    """Counts the pieces of a word by one model."""
-
-    def __init__(self, model: PieceModel):
-        self.model = model
-        self.matches = ahocorasick.Automaton()
-        for piece, i in model.ids.items():
-            self.matches.add_word(piece, (len(piece), i))
-        self.matches.make_automaton()
-        self.best = model.reading == UNIGRAM
-
-    def count(self, word: str) -> int:
-        # in a word of characters that are pieces, some match reaches every end
-        if self.model.chars.issuperset(word):
-            return self._best_known(word) if self.best else self._merged_known(word)
-        return self._best(word) if self.best else self._merged(word)
-
-    def _best_known(self, word: str) -> int:
-        scores, score, count, done = self.model.scores, [0.0] * (len(word) + 1), [0] * (len(word) + 1), -1
-        for last, (length, i) in self.matches.iter(word):
-            start = last + 1 - length
-            other = score[start] + scores[i]
-            if last != done or other > score[last + 1]:
-                score[last + 1], count[last + 1], done = other, count[start] + 1, last
-        return count[-1]
-
-    def _merged_known(self, word: str) -> int:
-        stand, piece, count, done = self.model.stand, [-1] * (len(word) + 1), [0] * (len(word) + 1), -1
-        for last, (length, i) in self.matches.iter(word):
-            if last != done:
-                start = last + 1 - length
-                if stand(piece[start], i):
-                    piece[last + 1], count[last + 1], done = i, count[start] + 1, last
-        return count[-1]
-
-    def _unknown(self, char: str) -> int:
-        return len(self.model.unknown_ids(char))
-
-    def _best(self, word: str) -> int:
-        model, scores = self.model, self.model.scores
-        score: list[float | None] = [0.0] + [None] * len(word)
-        count = [0] * (len(word) + 1)
-        filled = 0
-
-        def unmatched(upto: int) -> None:
-            # an end that no match reaches, or a character that is no piece, has the unknown path
-            nonlocal filled
-            while filled < upto:
-                if word[filled] not in model.ids:
-                    other = score[filled] + model.unknown_score
-                    if score[filled + 1] is None or other > score[filled + 1]:
-                        score[filled + 1] = other
-                        count[filled + 1] = count[filled] + self._unknown(word[filled])
-                filled += 1
-
-        for last, (length, i) in self.matches.iter(word):
-            unmatched(last)
-            start = last + 1 - length
-            other = score[start] + scores[i]
-            if score[last + 1] is None or other > score[last + 1]:
-                score[last + 1], count[last + 1] = other, count[start] + 1
-        unmatched(len(word))
-        return count[-1]
-
-    def _merged(self, word: str) -> int:
-        model = self.model
-        piece: list[int | None] = [-1] + [None] * len(word)
-        count = [0] * (len(word) + 1)
-        filled = 0
-
-        def unmatched(upto: int) -> None:
-            nonlocal filled
-            while filled < upto:
-                if piece[filled + 1] is None:
-                    piece[filled + 1], count[filled + 1] = -1, count[filled] + self._unknown(word[filled])
-                filled += 1
-
-        for last, (length, i) in self.matches.iter(word):
-            unmatched(last)
-            if piece[last + 1] is None:
-                start = last + 1 - length
-                if model.stand(piece[start], i):
-                    piece[last + 1], count[last + 1] = i, count[start] + 1
-        unmatched(len(word))
-        return count[-1]
-
-
 class Counter:
-    """Counts the pieces of texts by one or more models that share their words."""
-
-    def __init__(self, *models: PieceModel):
-        self.words, self.parts_of = models[0].words, models[0].parts
-        self.counters = [WordCounter(m) for m in models]
-        self.known, self.parts = Remembered(REMEMBERED), Remembered(REMEMBERED)
-
-    def counts(self, texts: list[str | None]) -> list[list[int]]:
-        """For each model the number of pieces of each text."""
-        split = [self.words(t) for t in texts]
-        new = {w: self.parts_of(w) for w in self.known.missing(set().union(*split))}
-        unmet = self.parts.missing({p for parts in new.values() for p in parts})
-        self.parts.young.update((p, tuple([c.count(p) for c in self.counters])) for p in unmet)
-        part, known = self.parts.young.__getitem__, self.known.young
-        for w, parts in new.items():
-            known[w] = part(parts[0]) if len(parts) == 1 else tuple(map(sum, zip(*map(part, parts))))
-        out: list[list[int]] = [[] for _ in self.counters]
-        for words in split:
-            met = list(map(known.__getitem__, words))
-            for k, column in enumerate(out):
-                column.append(sum([m[k] for m in met]))
+    """Counts the pieces of texts by one or more readings of a vocabulary, remembering words it has met."""
+
+    def __init__(self, model: PieceModel, *readings: str):
+        self.model, self.readings = model, readings or (model.reading,)
+        self.forward = Forward(model, self.readings, counts=True)
+        self.known = Remembered(REMEMBERED)
+
+    def learn(self, words: set[str]) -> None:
+        """Makes ``known`` hold the words: a number of pieces for each reading."""
+        at = [1 if r == UNIGRAM else 2 for r in self.readings]
+        self.known.young.update((w[0], tuple([w[k] for k in at])) for w in self.forward.walk(sorted(self.known.missing(words))))
+
+    def counts(self, column: pa.Array) -> list[np.ndarray]:
+        """For each reading the number of pieces of each text."""
+        words = Words(self.model, column)
+        self.learn(words.distinct())
+        known, out = self.known.young, []
+        met = [known[w] for w in words.items]
+        for k in range(len(self.readings)):
+            total = np.zeros(len(column), dtype=np.int64)
+            done = np.concatenate(([0], np.cumsum(np.array([m[k] for m in met], dtype=np.int64)[words.index])))
+            total[words.plain] = np.diff(done[words.ends])
+            for row, own in words.odd.items():
+                total[row] = sum([known[w][k] for w in own])
+            out.append(total)
         return out
 
 
 @lru_cache(maxsize=4)
 def counter_of(path: str, *readings: str | None) -> Counter:
-    """One counter for all the tasks of a worker."""
-    return Counter(*(load(path, r) for r in readings))
+    """One counter for all the tasks of a worker; None is the reading that the file was trained for."""
+    model = load(path)
+    return Counter(model, *(r or model.reading for r in readings))
 
 
 def token_counts(
@@ -159,8 +79,8 @@ def token_counts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(path, reading, UNIGRAM)
-        for part, texts in text_slices(batches, "text"):
-            columns = [pa.array(n, pa.int64()) for n in counter.counts(texts)]
+        for part, column in column_slices(batches, 1, TOGETHER):
+            columns = [pa.array(n) for n in counter.counts(column)]
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", "n_tokens", "n_viterbi"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -17,18 +17,19 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .common import Remembered, filesystem, fresh_dir, remove_dir, store, text_slices, tokenizer_file
+from .common import Remembered, column_slices, filesystem, fresh_dir, remove_dir, store, tokenizer_file
+from .distinct import laid_out, numbered, rows_in_order
 
 MAGIC = b"PFORTOK1"
 BLOCK = 512
@@ -38,6 +39,8 @@ PERCENTILE = 0.9
 TOGETHER = 512
 #: Pieces in one generation of what a worker remembers.
 REMEMBERED = 800_000
+#: Text bytes whose pieces are numbered together.
+TOGETHER = 8 << 20
 #: Cuts given to the library as one text, whose tokens it describes at some length.
 LINES = 10_000
 
@@ -185,9 +188,10 @@ class Reader:
             doc = last
 
 
-#: White space other than spaces and line breaks.
-OTHER_SPACES = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
-SIDE_BY_SIDE = re.compile(r"\s\s")
+#: Two white-space characters side by side, by any common definition of white space.
+SIDE_BY_SIDE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}"
+#: A full stop or comma that does not follow a letter or digit, or precedes a visible character that is neither.
+MARK_BESIDE = r"(^|[^\pL\pN])[.,]|[.,][^\pL\pN\s]"
 
 
 # -- tokens -----------------------------------------------------------------------------------
@@ -197,12 +201,12 @@ class Tokens:
     """Ids of whole texts by a byte-level BPE of the tokenizers library.
 
     The library cuts a text by its pre-tokenizer's pattern and encodes each cut on its own,
-    so each distinct cut is given to it once, many as the lines of one text.  Texts are first
-    split at places that always begin a cut, which is cheap: a single space or line break
-    between visible characters and, where marks are neither doubled nor after white space, a
-    full stop or comma.  Only pieces that are not remembered are cut by the pattern.  Texts
-    with white space side by side, a null character or a special token's string go to the
-    library whole.
+    so each distinct cut is given to it once, many as the lines of one text.  Arrow splits
+    the texts at places that always begin a cut: a single space or line break between visible
+    characters and, where marks are neither doubled nor beside other signs, a full stop or
+    comma.  Only distinct pieces that are not remembered are cut by the pattern.  Texts with
+    white space side by side, a null character or a special token's string go to the library
+    whole.
     """
 
     #: The pattern of the byte-level pre-tokenizer, fixed by its definition.
@@ -220,11 +224,10 @@ class Tokens:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        plain = spec.get("normalizer") is None and spec.get("pre_tokenizer") == {
+        self.plain = spec.get("normalizer") is None and spec.get("pre_tokenizer") == {
             "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True
         }
-        self.plain = plain
-        self.unusual = ("  ", "\n\n", " \n", "\n ", self.BARE, *(t["content"] for t in spec.get("added_tokens", [])))
+        self.unusual = (self.BARE, *(t["content"] for t in spec.get("added_tokens", [])))
         self.pattern = regex.compile(self.PATTERN).findall
         self.visible = regex.compile(r" ?\S+").fullmatch
         line = self.library.encode(self.LINE, add_special_tokens=False).ids
@@ -242,8 +245,8 @@ class Tokens:
         for at in range(0, len(cuts), LINES):
             ids = np.frombuffer(self._library([self.LINE.join(cuts[at : at + LINES])])[0], dtype="<u4")
             breaks = np.flatnonzero(ids == self.line_id)
-            raw, starts, ends = ids.tobytes(), [0, *(breaks + 1).tolist()], [*breaks.tolist(), len(ids)]
-            out += [raw[4 * a : 4 * b] for a, b in zip(starts, ends)]
+            raw, starts, ends = ids.tobytes(), [0, *(4 * breaks + 4).tolist()], [*(4 * breaks).tolist(), 4 * len(ids)]
+            out += [raw[a:b] for a, b in zip(starts, ends)]
         return out
 
     def _of_cuts(self, texts: list[str]) -> list[bytes]:
@@ -258,58 +261,45 @@ class Tokens:
         known.update(zip(rest, self._library(rest)))
         return [b"".join([known[c] for c in cuts]) for cuts in split]
 
-    def _as_whole(self, text: str) -> bool:
-        """Whether the library must see the text whole."""
-        if not self.plain or any([x in text for x in self.unusual]):
-            return True
-        return any([x in text for x in OTHER_SPACES]) and SIDE_BY_SIDE.search(text) is not None
-
-    @staticmethod
-    def _marks_apart(text: str) -> bool:
-        """Whether every full stop and comma follows a letter or digit and precedes one, white space or the end."""
+    def _plain(self, column: pa.Array) -> np.ndarray:
+        """Whether a text need not go to the library whole."""
+        if not self.plain:
+            return np.zeros(len(column), dtype=bool)
+        odd = pc.or_(pc.equal(column, ""), pc.match_substring_regex(column, SIDE_BY_SIDE))
+        for mark in self.unusual:
+            odd = pc.or_(odd, pc.match_substring(column, mark))
+        return ~odd.to_numpy(zero_copy_only=False)
+
+    def _spaced(self, column: pa.Array) -> pa.Array:
+        """Plain texts with a space before every piece; one that has none before it in the text begins with
+        ``BARE`` or a line break."""
+        apart = pc.invert(pc.match_substring_regex(column, MARK_BESIDE))
+        column = pc.binary_join_element_wise(self.BARE, pc.replace_substring(column, "\n", " \n"), "")
+        marked = column
         for mark in ".,":
-            parts = text.split(mark)
-            if not all([p[-1:].isalnum() for p in parts[:-1]]):
-                return False
-            if not all([not p or p[0].isalnum() or p[0].isspace() for p in parts[1:]]):
-                return False
-        return True
-
-    def _split(self, text: str) -> list[str]:
-        """The first piece, with nothing before it, and the others, with a space unless they begin with
-        a line break or ``BARE``."""
-        apart = self._marks_apart(text)
-        text = text.replace("\n", " \n")
-        if apart:
-            text = text.replace(".", " \0.").replace(",", " \0,")
-        return text.split(" ")
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian u32."""
-        split, whole, heads, seen = [], {}, {}, set()
-        for k, text in enumerate(texts):
-            text = text or ""
-            if self._as_whole(text):
-                whole[k] = text
-                split.append(("", []))
-                continue
-            first, *rest = self._split(text)
-            heads[first] = b""
-            seen.update(rest)
-            split.append((first, rest))
-        new = self.pieces.missing(seen)
-        young = self.pieces.young
+            marked = pc.replace_substring(marked, mark, f" {self.BARE}{mark}")
+        return pc.if_else(apart, marked, column)
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Makes ``young`` hold the ids of pieces; a piece has a space before it unless it begins with a line break or ``BARE``."""
+        new, young = self.pieces.missing(pieces), self.pieces.young
         letters = [p for p in new if p.isalpha()] if self.line_id is not None else []
         young.update(zip(letters, self._lines([f" {p}" for p in letters])))
-        others = [p for p in new if p not in young]
+        others = [p for p in new if not p.isalpha() or self.line_id is None]
         shown = [p.removeprefix(self.BARE) if p[:1] in ("\n", self.BARE) else f" {p}" for p in others]
         young.update(zip(others, self._of_cuts(shown)))
-        begin = [p for p in heads if p]
-        heads.update(zip(begin, self._of_cuts(begin)))
-        out = [heads[first] + b"".join(map(young.__getitem__, rest)) for first, rest in split]
-        for k, ids in zip(whole, self._library(list(whole.values()))):
-            out[k] = ids
-        return out
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the texts end to end as u32, where each ends, from 0 on)."""
+        column = pc.fill_null(column, "")
+        plain = self._plain(column)
+
+        def of_plain() -> tuple[np.ndarray, np.ndarray]:
+            pieces, index, ends = numbered(self._spaced(column.filter(pa.array(plain))))
+            self._learn(pieces)
+            return laid_out(list(map(self.pieces.young.__getitem__, pieces)), index, ends, "<u4")
+
+        return rows_in_order(plain, of_plain, lambda k: np.frombuffer(self._library([column[k].as_py()])[0], "<u4"))
 
 
 @lru_cache(maxsize=4)
@@ -334,7 +324,7 @@ def write(
     ``end_id`` follows every document; null and empty texts have only that.
     """
     spark, path = docs.sparkSession, tokenizer_file(tokenizer)
-    ending = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
+    ending = np.array([] if end_id is None else [end_id], dtype="<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -345,10 +335,12 @@ def write(
 
         def fill(out) -> None:
             writer, tokens = Writer(out), tokens_of(path)
-            for part, texts in text_slices(batches, "text"):
-                ids = [x + ending for x in tokens.encode(texts)]
-                writer.add(part.column(0).to_pylist(), [len(x) // 4 for x in ids], np.frombuffer(b"".join(ids), "<u4"))
-                total["docs"] += len(ids)
+            for part, column in column_slices(batches, 1, TOGETHER):
+                ids, ends = tokens.encode(column)
+                lengths = np.diff(ends) + len(ending)
+                ids = np.insert(ids, np.repeat(ends[1:], len(ending)), np.tile(ending, len(lengths)))
+                writer.add(part.column(0).to_pylist(), lengths.tolist(), ids)
+                total["docs"] += len(lengths)
             total["tokens"] = writer.tokens
             writer.close()
 

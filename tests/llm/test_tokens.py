@@ -1,16 +1,19 @@
 """SentencePiece encoding, token counts and token files against the tokenizer libraries."""
 
 import io
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from llm_helpers import prose
 from tokenizers import Tokenizer
 
 from graphloom.llm import common, sentencepiece as sp, token_counts, token_files
+from graphloom.llm.forward import Forward
 from graphloom.llm.pieces import load
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -36,39 +39,126 @@ def unigram_path(tmp_path_factory):
     return str(path)
 
 
-def ids_of(raw):
-    return np.frombuffer(raw, "<i4").tolist()
+def arrow(texts):
+    return pa.array(texts, pa.string())
+
+
+def rows_of(found):
+    ids, ends = found
+    return [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
+
+
+def random_texts(seed, n):
+    """Texts of syllables, marks, digits, odd white space and rare characters."""
+    rng = random.Random(seed)
+    units = ["the", "ing", "o", "é", "ß", "7", "42", ".", ",", ".,", "'s", "-", "日", "😀", "\u0301", "▁", "𝔘", "Q"]
+    gaps = [" "] * 12 + ["\n", "  ", "\t", " \n", "\xa0", "\u3000", "\r\n", "\x1c", "\0"]
+    plain = [" "] * 12 + ["\n"]
+    out = []
+    for _ in range(n):
+        between = rng.choice((gaps, plain))
+        out.append("".join("".join(rng.choices(units, k=rng.randint(1, 5))) + rng.choice(between) for _ in range(rng.randint(0, 12))))
+    return out
 
 
 def test_merged_pieces_equal_the_library():
     library = sentencepiece.SentencePieceProcessor(model_file=PATH)
-    (got,) = sp.Encoder(load(PATH)).encode(TEXTS)
-    for text, raw in zip(TEXTS, got):
-        assert ids_of(raw) == library.encode(text or ""), text
-        assert load(PATH).decode(ids_of(raw)) == library.decode(ids_of(raw))
+    texts = TEXTS + random_texts(1, 3000)
+    (found,), back = sp.Encoder(load(PATH)).encode(arrow(texts), check=True)
+    # the mark itself comes back as a space
+    assert back.tolist() == ["▁" not in (t or "") for t in texts]
+    for text, got in zip(texts, rows_of(found)):
+        assert got == library.encode(text or ""), text
+        assert load(PATH).decode(got) == library.decode(got)
 
 
 def test_viterbi_equals_the_library_word_by_word(unigram_path):
     library = sentencepiece.SentencePieceProcessor(model_file=unigram_path)
-    words = sorted({w for t in TEXTS for w in (t or "").split()} | {"Steser", "enaich.", "𝔘𝔫", "é"})
+    words = sorted({w for t in TEXTS + random_texts(2, 500) for w in (t or "").split()} | {"Steser", "enaich.", "𝔘𝔫", "é"})
     model = load(unigram_path)
     assert model.reading == "unigram"
-    (got,) = sp.Encoder(model).encode(words)
-    assert [ids_of(x) for x in got] == [library.encode(w) for w in words]
+    (found,), _ = sp.Encoder(model).encode(arrow(words))
+    assert rows_of(found) == [library.encode(w) for w in words]
 
 
-@pytest.mark.parametrize("reading", ["bpe", "unigram"])
-def test_counts_equal_encodings(reading):
-    model = load(PATH, reading)
-    (counts,), (ids,) = token_counts.Counter(model).counts(TEXTS), sp.Encoder(model).encode(TEXTS)
-    assert counts == [len(x) // 4 for x in ids]
+def test_unknown_characters_without_bytes(tmp_path):
+    """A vocabulary without byte pieces has one unknown id for a run of unknown characters, and does not spell it."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    for kind in (1, 2):
+        m = pb.ModelProto()
+        m.ParseFromString(open(PATH, "rb").read())
+        m.trainer_spec.model_type, m.trainer_spec.byte_fallback = kind, False
+        kept = [p for p in m.pieces if p.type != pb.ModelProto.SentencePiece.BYTE and (p.score > -1e8 or p.piece == "▁")]
+        del m.pieces[:]
+        m.pieces.extend(kept)
+        path = tmp_path / f"{kind}.model"
+        path.write_bytes(m.SerializeToString())
+        library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+        texts = ["a😀😀b", "😀", "x\ny", "日本語😀 日", "plain words here", ""]
+        model = load(str(path))
+        (found,), back = sp.Encoder(model).encode(arrow(texts), check=True)
+        assert rows_of(found) == [library.encode(t) for t in texts], kind
+        assert back.tolist() == [library.decode(library.encode(t)) == t for t in texts]
+        (counts,) = token_counts.Counter(model).counts(arrow(texts))
+        assert counts.tolist() == [len(library.encode(t)) for t in texts]
+
+
+def test_both_readings_in_one_walk_equal_each_alone():
+    model, texts = load(PATH), arrow(TEXTS + random_texts(3, 400))
+    (merged, best), _ = sp.Encoder(model, "bpe", "unigram").encode(texts)
+    assert rows_of(merged) == rows_of(sp.Encoder(model, "bpe").encode(texts)[0][0])
+    assert rows_of(best) == rows_of(sp.Encoder(model, "unigram").encode(texts)[0][0])
+    for reading, found in (("bpe", merged), ("unigram", best)):
+        (counts,) = token_counts.Counter(model, reading).counts(texts)
+        assert counts.tolist() == [len(x) for x in rows_of(found)]
+
+
+def best_score(model, word):
+    """(score, pieces) of the best path, by trying every split of the word."""
+    tops = [(0.0, 0)]
+    for stop in range(1, len(word) + 1):
+        ways = [(tops[a][0] + model.scores[model.ids[word[a:stop]]], tops[a][1] + 1) for a in range(stop) if word[a:stop] in model.ids]
+        tops.append(max(ways, key=lambda w: w[0], default=(float("-inf"), 0)))
+    return tops[-1]
+
+
+def test_viterbi_scores_equal_brute_force():
+    model = load(PATH)
+    words = sorted({f"▁{w}" for w in prose(5, 200).split()} | {"▁international", "▁", "▁xylophone.,"})
+    for word, ids, _ in Forward(model, ("unigram",)).walk(words):
+        pieces = np.frombuffer(ids, "<i4").tolist()
+        assert "".join(model.surface[i] for i in pieces) == word
+        assert sum(model.scores[i] for i in pieces) == best_score(model, word)[0]
+
+
+def merged(model, text):
+    """Merging by its definition: the best-scored neighbours, the leftmost of equals, until none is left."""
+    parts = list(text)
+    while True:
+        ways = [(-model.scores[model.ids[a + b]], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in model.ids]
+        if not ways:
+            return parts
+        k = min(ways)[1]
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+
+def test_pieces_stand_as_merging_leaves_them():
+    model, rng = load(PATH), random.Random(4)
+    ids = list(model.ids.values())
+    short = [i for i in ids if len(model.surface[i]) < 4 and model.surface[i].isascii()]
+    for n in range(4000):
+        pool = short if n % 2 else ids
+        left, right = rng.choice(pool) if n % 9 else -1, rng.choice(pool)
+        pair = [model.surface[i] for i in (left, right) if i >= 0]
+        assert model.stand(left, right) == (merged(model, "".join(pair)) == pair), pair
 
 
 def test_shared_prefixes_change_nothing():
     words = sorted(["▁inter", "▁internal", "▁international", "▁internet", "▁x", "▁xylophone"])
-    model = load(PATH)
-    together = dict(sp.encode_words(model, words))
-    assert together == {w: dict(sp.encode_words(model, [w]))[w] for w in words}
+    walker = Forward(load(PATH), ("unigram", "bpe"))
+    together = list(walker.walk(words))
+    assert together == [x for w in words for x in walker.walk([w])]
 
 
 def test_memory_of_words_is_bounded(monkeypatch):
@@ -86,6 +176,8 @@ def test_encode_decode_frames(odd_docs, no_docs):
     assert all(r.round_trip for r in d.values())
     assert (d[5].n_ids, d[5].ids_crc32, d[6].viterbi_n) == (0, 0, 0)
     c = {r.doc_id: r for r in token_counts.token_counts(odd_docs).collect()}
+    ids = {r.doc_id: r.ids for r in sp.encode(odd_docs).collect()}
+    assert {k: r.ids for k, r in d.items()} == ids
     assert {k: (r.n_tokens, r.n_viterbi) for k, r in c.items()} == {k: (r.n_ids, r.viterbi_n) for k, r in d.items()}
     for f in (sp.encode, sp.digests, token_counts.token_counts):
         assert f(no_docs).count() == 0
@@ -101,9 +193,10 @@ MORE = ["<|endoftext|> in a text", "a \nb", "a\n b", "don't 'tis we'll", " lead"
 
 def test_byte_tokens_equal_the_library():
     tokens = token_files.Tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = TEXTS + MORE + random_texts(6, 3000)
     for _ in range(2):  # the second time from memory
-        for text, raw in zip(TEXTS + MORE, tokens.encode(TEXTS + MORE)):
-            assert np.frombuffer(raw, "<u4").tolist() == plain(text), text
+        for text, got in zip(texts, rows_of(tokens.encode(arrow(texts)))):
+            assert got == plain(text), text
 
 
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 2000, 300_000])
