@@ -23,7 +23,7 @@ from .pieces import UNIGRAM, PieceModel, load
 from .sentencepiece import TOGETHER, Words
 
 #: Words in one generation of what a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class Counter:
@@ -36,8 +36,8 @@ class Counter:
 
     def learn(self, words: set[str]) -> None:
         """Makes ``known`` hold the words: a number of pieces for each reading."""
-        at = [1 if r == UNIGRAM else 2 for r in self.readings]
-        self.known.young.update((w[0], tuple([w[k] for k in at])) for w in self.forward.walk(sorted(self.known.missing(words))))
+        at, new = [1 if r == UNIGRAM else 2 for r in self.readings], sorted(self.known.missing(words))
+        self.known.young.update((w[0], tuple([w[k] for k in at])) for w in self.forward.walk(new))
 
     def counts(self, column: pa.Array) -> list[np.ndarray]:
         """For each reading the number of pieces of each text."""

@@ -38,9 +38,9 @@ PERCENTILE = 0.9
 #: Blocks that are packed or unpacked together.
 TOGETHER = 512
 #: Pieces in one generation of what a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 #: Text bytes whose pieces are numbered together.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 #: Cuts given to the library as one text, whose tokens it describes at some length.
 LINES = 10_000
 

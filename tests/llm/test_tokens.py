@@ -114,6 +114,19 @@ def test_both_readings_in_one_walk_equal_each_alone():
         assert counts.tolist() == [len(x) for x in rows_of(found)]
 
 
+def test_words_that_were_forgotten_are_learnt_again(monkeypatch):
+    for module in (sp, token_counts, token_files):
+        monkeypatch.setattr(module, "REMEMBERED", 40)
+    model, texts = load(PATH), [prose(k, 60) for k in range(12)] * 2
+    encoder, counter, tokens = sp.Encoder(model), token_counts.Counter(model), token_files.Tokens(PLAIN_PATH)
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    for text in texts:
+        (found,), _ = encoder.encode(arrow([text]))
+        assert rows_of(found) == [library.encode(text)]
+        assert counter.counts(arrow([text]))[0].tolist() == [len(library.encode(text))]
+        assert rows_of(tokens.encode(arrow([text]))) == [plain(text)]
+
+
 def best_score(model, word):
     """(score, pieces) of the best path, by trying every split of the word."""
     tops = [(0.0, 0)]
@@ -187,12 +200,13 @@ def plain(text):
     return PLAIN.encode(text or "", add_special_tokens=False).ids
 
 
-PLAIN = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+PLAIN_PATH = public_tokenizers.path("byte_bpe_50k.json")
+PLAIN = Tokenizer.from_file(PLAIN_PATH)
 MORE = ["<|endoftext|> in a text", "a \nb", "a\n b", "don't 'tis we'll", " lead", "trail ", "\x1c x\x1cy", "a\r\nb", "l1\nl2\nl3", "mark.\nNext"]
 
 
 def test_byte_tokens_equal_the_library():
-    tokens = token_files.Tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    tokens = token_files.Tokens(PLAIN_PATH)
     texts = TEXTS + MORE + random_texts(6, 3000)
     for _ in range(2):  # the second time from memory
         for text, got in zip(texts, rows_of(tokens.encode(arrow(texts)))):
