@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .errors import GraphCycleError
 from .plans.lineage import cut
 
-#: Order of a vertex that only edges name: after every vertex that was given.
+#: Least order of a vertex that only edges name: after every vertex that is given.
 IMPLIED = 1 << 61
 
 
@@ -68,11 +68,13 @@ class PropertyGraph:
             if v is not None:
                 v = v.withColumns({"display": F.col("id"), "id": identity(F.col("id"))})
         spelt = identity is not None
+        # vertices that were implied in an earlier graph are given here, with orders above IMPLIED
+        last = F.lit(IMPLIED) if v is None else F.greatest(F.lit(IMPLIED), F.coalesce(v.agg(F.max("ord")).scalar(), F.lit(0)) + 1)
         ends = e.select(
             F.explode(
                 F.array(
-                    F.struct(F.col("src").alias("id"), (2 * F.col("ord") + IMPLIED).alias("ord"), *([F.col("_s").alias("display")] if spelt else [])),
-                    F.struct(F.col("dst").alias("id"), (2 * F.col("ord") + 1 + IMPLIED).alias("ord"), *([F.col("_t").alias("display")] if spelt else [])),
+                    F.struct(F.col("src").alias("id"), (2 * F.col("ord") + last).alias("ord"), *([F.col("_s").alias("display")] if spelt else [])),
+                    F.struct(F.col("dst").alias("id"), (2 * F.col("ord") + 1 + last).alias("ord"), *([F.col("_t").alias("display")] if spelt else [])),
                 )
             ).alias("x")
         ).select("x.*")
@@ -251,8 +253,7 @@ class PropertyGraph:
         new = self._later(rows, self.edges)
         new = new if "eid" in new.columns else new.withColumn("eid", F.col("ord"))
         edges = self.edges.unionByName(new, allowMissingColumns=True)
-        vertices = self.vertices.withColumn("ord", F.col("ord"))
-        return PropertyGraph.from_dataframes(edges, vertices, self.directed, self.multi)
+        return PropertyGraph.from_dataframes(edges, self.vertices, self.directed, self.multi)
 
     def add_edges_acyclic(self, rows: DataFrame) -> PropertyGraph:
         """The acyclic graph with the edges, in order, that close no cycle; loops never do.

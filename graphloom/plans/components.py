@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import cut
+from .skew import join_counted
 
 MAX_ROUNDS = 100
 #: Edges up to which one task joins them at once, in place of rounds over all tasks.
@@ -19,7 +20,8 @@ def star_components(edges: DataFrame, left: str = "u", right: str = "v", should_
     Each round first hangs every larger neighbour of a node on the node's smallest
     neighbour, then every smaller one, until the edges form stars around the minima;
     the number of rounds grows with the logarithm of the largest component.  Minima are
-    aggregated before the shuffle and joined back, so a hub is never gathered in a task.
+    aggregated before the shuffle, and those of hubs are joined back by a broadcast of bounded
+    size, so no hub is gathered in a task.
     Loops and null ends are ignored; an empty table gives an empty result.
     """
     u, v = F.col(left), F.col(right)
@@ -69,13 +71,15 @@ def _large_star(stars: DataFrame) -> DataFrame:
     both = stars.select(F.col("hi").alias("n"), F.col("lo").alias("m")).unionByName(
         stars.select(F.col("lo").alias("n"), F.col("hi").alias("m"))
     )
-    least = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
-    return both.join(least, "n").where("m > n").select(F.col("m").alias("hi"), F.col("low").alias("lo")).distinct()
+    least = cut(both.groupBy("n").agg(F.min("m").alias("low"), F.count(F.lit(1)).alias("size")))
+    least = least.select("n", F.least("n", "low").alias("low"), "size")
+    return join_counted(both, least, "n", "size").where("m > n").select(F.col("m").alias("hi"), F.col("low").alias("lo")).distinct()
 
 
 def _small_star(stars: DataFrame) -> DataFrame:
-    least = stars.groupBy("hi").agg(F.min("lo").alias("low"))
-    rest = stars.join(least, "hi").where("lo <> low").select(F.col("lo").alias("hi"), F.col("low").alias("lo"))
+    stars = cut(stars)
+    least = cut(stars.groupBy("hi").agg(F.min("lo").alias("low"), F.count(F.lit(1)).alias("size")))
+    rest = join_counted(stars, least, "hi", "size").where("lo <> low").select(F.col("lo").alias("hi"), F.col("low").alias("lo"))
     return least.select("hi", F.col("low").alias("lo")).unionByName(rest).distinct()
 
 

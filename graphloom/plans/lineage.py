@@ -1,8 +1,8 @@
 """Cutting lineage through the folder that every executor shares.
 
 Iterative plans grow with each round, so each round is written to the checkpoint
-folder.  The folder is the one named in ``spark.checkpoint.dir``; only a session
-that names none (a local test) gets a temporary one.
+folder.  The folder is the one named in ``spark.checkpoint.dir``; only a local session
+that names none (a test) gets a temporary one.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="graphloom-")
     atexit.register(shutil.rmtree, local, ignore_errors=True)
     sc.setCheckpointDir(local)

@@ -5,6 +5,7 @@ from helpers import column, graph, pairs, table
 from pyspark.sql import functions as F
 
 from graphloom.graph import PropertyGraph, directed, undirected
+from graphloom.operators import connectivity
 
 KINDS = [(d, m) for d in (True, False) for m in (True, False)]
 
@@ -90,3 +91,24 @@ def test_matrix_order(spark):
     assert [(r.src, r.dst) for r in g.scan_edges(matrix=True).collect()] == [("b", "a"), ("c", "a"), ("c", "b")]
     d = graph(spark, pairs("a-c a-b b-a"), ["a", "b", "c"], True)
     assert [(r.src, r.dst) for r in d.scan_edges(matrix=True).collect()] == [("a", "b"), ("a", "c"), ("b", "a")]
+
+
+@pytest.mark.parametrize("is_directed,multi", KINDS)
+def test_orders_stay_unique_over_changes(spark, is_directed, multi):
+    g = graph(spark, [(1, 2), (2, 3)], [], is_directed, multi)
+    g = g.add_vertices(spark.createDataFrame([(9,)], "id long"))
+    for s, t in ((7, 8), (9, 5), (6, 1)):
+        g = g.add_edges(spark.createDataFrame([(s, t)], "src long, dst long"))
+    g = g.add_vertices(spark.createDataFrame([(4,), (9,)], "id long"))
+    orders = [r.ord for r in g.vertices.collect()]
+    assert len(set(orders)) == len(orders) == 9
+    assert column(g.scan_vertices()) == [1, 2, 3, 9, 7, 8, 5, 6, 4]
+
+
+def test_added_vertices_are_components_of_their_own(spark):
+    g = graph(spark, [(1, 2), (2, 3)]).add_vertices(spark.createDataFrame([(9,)], "id long"))
+    g = g.add_edges(spark.createDataFrame([(7, 8)], "src long, dst long"))
+    found = {}
+    for r in connectivity.connected_components(g).collect():
+        found.setdefault(r.component, set()).add(r.id)
+    assert sorted(map(sorted, found.values())) == [[1, 2, 3], [7, 8], [9]]
