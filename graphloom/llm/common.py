@@ -14,10 +14,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import shared_dir
+from ..plans.lineage import cut, shared_dir
 
 #: Text bytes that a Python worker handles at a time.
 SLICE_BYTES = 2 << 20
+#: Hot keys that are broadcast, at most.
+SENT_KEYS = 200_000
+#: Parts in which a hot key is joined if there are more.
+SALTS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,11 +98,21 @@ def split_hot(df: DataFrame, keys: list[str], spread, block: int) -> DataFrame:
 
     Keys of up to ``block`` rows have the one pair (0, 0).  A larger key is dealt into
     blocks by ``spread`` and each row goes to every pair that holds its block, so all
-    pairs of rows meet in some task and no task gets the whole key.
+    pairs of rows meet in some task and no task gets the whole key.  Keys are counted with
+    partial aggregates.  The hot ones are told to the rows where they are, by a broadcast, if
+    there are at most ``SENT_KEYS``; if more, by a join on the key and one of ``SALTS`` salts,
+    for each of which the hot keys are repeated.
     """
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
-    hot = hot.select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
-    dealt = df.join(hot, keys, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
+    hot = cut(counted.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.ceil(F.col("_n") / block).cast("int").alias("_blocks")))
+    same = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
+    if hot.count() <= SENT_KEYS:
+        dealt = df.join(F.broadcast(hot), same, "left")
+    else:
+        salted = hot.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64(spread, F.lit(1)), F.lit(SALTS)).cast("int")
+        dealt = df.withColumn("_s", salt).join(salted, [*same, F.col("_s") == F.col("_t")], "left")
+    dealt = dealt.withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     own = F.pmod(F.xxhash64(spread), F.col("_blocks")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("_blocks") - 1),

@@ -16,6 +16,7 @@ with it, so at least that many of its shingles are some item's.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .common import text_slices
+from .common import position_of, text_slices
 
 WORDS = re.compile(r"\w+")
 SHINGLE = 5
@@ -38,6 +39,9 @@ BLOCKS = 4
 WIDTH = 64 // BLOCKS
 #: Items indexed at a time; each takes 32 KB of block tables in a worker.
 SLICE_ITEMS = 1500
+#: Indexes that a worker keeps.
+INDEXES = 2
+_BUILT: dict[str, "BenchmarkIndex"] = {}
 
 
 def words_of(text: str | None) -> list[str]:
@@ -198,12 +202,20 @@ def _parts(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> Ite
 
 
 def _indexed(items: list[tuple[int | None, str]], shingle: int, threshold: float, radius: int):
-    """A function that gives each worker its index, built once in a task; items go by their positions, as ids may repeat."""
+    """A function that gives a worker its index, built for the first of its tasks; items go by their positions, as ids may repeat."""
+    texts = tuple(t for _, t in items)
+    key = hashlib.sha256(repr((texts, shingle, threshold, radius)).encode("utf-8", "surrogatepass")).hexdigest()
 
-    def build() -> BenchmarkIndex:
-        return BenchmarkIndex([(k, t) for k, (_, t) in enumerate(items)], shingle, threshold, radius)
+    return lambda: _index_of(key, texts, shingle, threshold, radius)
 
-    return build
+
+def _index_of(key: str, texts: tuple[str, ...], shingle: int, threshold: float, radius: int) -> BenchmarkIndex:
+    """The index of the texts, remembered by the worker."""
+    if key not in _BUILT:
+        while len(_BUILT) >= INDEXES:
+            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT[key] = BenchmarkIndex(list(enumerate(texts)), shingle, threshold, radius)
+    return _BUILT[key]
 
 
 def best_by_id(matches: dict[int, tuple[float, int]], items: list[tuple[int | None, str]]) -> list[tuple[int | None, float, int]]:
@@ -284,13 +296,13 @@ def remove_contaminated(
     All columns stay as they are, whatever their names, and rows with null or empty texts stay.
     Every text of the benchmark counts, whatever its id.
     """
-    kept = docs
+    kept, column = docs, position_of(docs, text_col)
     for items in _parts(benchmark, item_col, item_text_col, SLICE_ITEMS):
         build = _indexed(items, shingle, threshold, radius)
 
         def run(batches: Iterator[pa.RecordBatch], build=build) -> Iterator[pa.RecordBatch]:
             index = build()
-            for part, texts in text_slices(batches, text_col):
+            for part, texts in text_slices(batches, column):
                 clean = part.filter(pa.array([not index.matches(t) for t in texts]))
                 if clean.num_rows:
                     yield clean

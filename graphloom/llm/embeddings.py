@@ -11,11 +11,12 @@ Vectors are compared within a label (and dimension).  Two steps:
    codes are within a radius that a binomial distance exceeds with at most a quarter of
    ``miss`` are candidates; a spanning forest of them leaves each task, and its components
    hold every linked pair.
-2. Verification.  Within a component the inner product of a vector q and a coded vector o
-   is estimated without bias by <code(o), q> / <code(o), o>, whose divisor is the stored
-   correction factor; the error bound is ``SIGMAS`` * sqrt((1 - f^2) / f^2 / (d - 1)).
-   A pair whose upper bound is below the threshold is dropped; any other is recomputed in
-   double precision, and only what that finds at or above the threshold is a link.
+2. Verification.  A vector's code is stored as bits, with its correction factor f, the sum
+   over the rotations of <code(o), o>, and its spread e, the root of the sum of 1 - <code(o), o>^2.
+   Within a component the inner product of a vector q and a coded vector o is estimated
+   without bias by <code(o), q> / f; the error bound is ``SIGMAS`` * e / f / sqrt(d - 1).  A
+   pair whose upper bound is below the threshold is dropped; any other is recomputed in double
+   precision, and only what that finds at or above the threshold is a link.
 
 Hot buckets and components are dealt into pairs of blocks, so no task holds one whole.
 """
@@ -44,6 +45,10 @@ CODE_BITS = 128
 #: Vectors of one label that share a bucket by chance, about.
 BUCKET = 256
 BLOCK = 2048
+#: Rows compared with a block at a time, and pairs recomputed at a time.
+ROWS, PAIRS = 256, 65_536
+#: What single precision may lose of an estimate.
+ROUNDING = 1e-4
 
 
 @lru_cache(maxsize=16)
@@ -54,9 +59,20 @@ def rotations(dim: int) -> np.ndarray:
     return np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(count)], axis=1)
 
 
-def codes(units: np.ndarray) -> np.ndarray:
-    """The sign bits of the rotated vectors, (rows, bits)."""
-    return (units @ rotations(units.shape[1])) > 0
+def codes(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sign bits of the rotated vectors packed in bytes, correction factors, spreads)."""
+    dim = units.shape[1]
+    turned = units @ rotations(dim)
+    # <code(o), o> for each rotation, the code being signs over the root of the dimension
+    own = np.abs(turned).reshape(len(units), -1, dim).sum(axis=2) / math.sqrt(dim)
+    return np.packbits(turned > 0, axis=1, bitorder="little"), own.sum(axis=1), np.sqrt(np.maximum(0.0, 1 - own**2).sum(axis=1))
+
+
+def signs(code: list[bytes], dim: int) -> np.ndarray:
+    """The codes as vectors, (rows, bits)."""
+    raw = np.frombuffer(b"".join(code), np.uint8).reshape(len(code), -1)
+    bits = np.unpackbits(raw, axis=1, bitorder="little", count=rotations(dim).shape[1])
+    return (2 * bits.astype(np.float32) - 1) / np.float32(math.sqrt(dim))
 
 
 def tables_for(vectors: int, cosine: float, miss: float) -> tuple[int, int]:
@@ -93,7 +109,7 @@ def radius_for(width: int, cosine: float, miss: float) -> int:
 
 
 def _prepared(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """(rid, id, label, dim, vector) with a row number; dim 0 marks what links with nothing."""
+    """(rid, id, label, dim, vector, code, factor, spread) with a row number; dim 0 marks what links with nothing and has no code."""
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(
         F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), v.alias("vector")
@@ -105,7 +121,28 @@ def _prepared(vectors: DataFrame, id_col: str, vector_col: str, label_col: str)
         & F.coalesce(F.exists("vector", lambda x: x != 0.0), F.lit(False))
     )
     rows = rows.withColumn("dim", F.when(usable, F.size("vector")).otherwise(0))
-    return cut(rows.withColumn("vector", F.when(F.col("dim") > 0, F.col("vector"))))
+    rows = rows.select("rid", "id", "label", "dim", F.when(F.col("dim") > 0, F.col("vector")).alias("vector"))
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            code: list[bytes | None] = [None] * len(dims)
+            factor, spread = np.zeros(len(dims)), np.zeros(len(dims))
+            for dim in np.unique(dims[dims > 0]).tolist():
+                at = np.flatnonzero(dims == dim)
+                packed, factor[at], spread[at] = codes(unit(stacked(batch.column("vector").take(pa.array(at)), dim)))
+                for k, c in zip(at.tolist(), map(bytes, packed)):
+                    code[k] = c
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(code, pa.binary()), pa.array(factor), pa.array(spread)], [*batch.schema.names, "code", "factor", "spread"]
+            )
+
+    kind = rows.schema["label"].dataType.simpleString()
+    return cut(rows.mapInArrow(coded, f"rid long, id long, label {kind}, dim int, vector array<double>, code binary, factor double, spread double"))
+
+
+def stacked(vectors: pa.Array, dim: int) -> np.ndarray:
+    return np.array(vectors.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(-1, dim)
 
 
 def matrix(cols: dict[str, np.ndarray], at, dim: int) -> np.ndarray:
@@ -129,10 +166,7 @@ def _candidates(rows: DataFrame, cosine: float, miss: float) -> DataFrame:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
-                vectors = np.array(batch.column("vector").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), dtype=float)
-                units = unit(vectors.reshape(-1, dim))
-                packed = np.packbits(codes(units), axis=1, bitorder="little")
-                keys = table_keys(units, bits, count)
+                keys = table_keys(unit(stacked(batch.column("vector").take(pa.array(at)), dim)), bits, count)
                 n = len(at)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -141,7 +175,7 @@ def _candidates(rows: DataFrame, cosine: float, miss: float) -> DataFrame:
                         pa.array(np.full(n * count, dim, dtype=np.int32)),
                         pa.array(np.tile(np.arange(count, dtype=np.int32), n)),
                         pa.array(keys.reshape(-1).astype(np.int64)),
-                        pa.array([c for c in map(bytes, packed) for _ in range(count)], pa.binary()),
+                        batch.column("code").take(pa.array(np.repeat(at, count))),
                     ],
                     ["rid", "label", "dim", "t", "key", "code"],
                 )
@@ -185,25 +219,26 @@ def _candidates(rows: DataFrame, cosine: float, miss: float) -> DataFrame:
     return dealt.drop("own").repartition(*order).sortWithinPartitions(*order, "rid").mapInArrow(link, "u long, v long")
 
 
-def verified_pairs(x: np.ndarray, left: np.ndarray, right: np.ndarray, cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked pairs between the rows ``left`` and ``right`` (``same``: each unordered pair once)."""
+def verified_pairs(
+    x: np.ndarray, code: np.ndarray, factor: np.ndarray, spread: np.ndarray, left: np.ndarray, right: np.ndarray, cosine: float, same: bool
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs between the rows ``left`` and ``right`` (``same``: each unordered pair once), some rows at a time."""
     dim = x.shape[1]
     norms = np.sqrt((x * x).sum(axis=1))
-    q = x / norms[:, None]
-    rotation = rotations(dim)[:, :dim]
-    turned = q @ rotation
-    code = np.where(turned > 0, 1.0, -1.0) / math.sqrt(dim)
-    factor = (code * turned).sum(axis=1)
-    bound = SIGMAS * np.sqrt(np.maximum(0.0, 1 - factor**2)) / factor / math.sqrt(max(1, dim - 1))
-    for k, i in enumerate(left.tolist()):
-        others = right[k + 1 :] if same else right
-        estimate = (code[others] @ turned[i]) / factor[others]
-        doubtful = others[estimate + bound[others] >= cosine]
-        if len(doubtful):
-            exact = (x[doubtful] @ x[i]) / (norms[doubtful] * norms[i])
-            found = doubtful[exact >= cosine]
-            if len(found):
-                yield np.full(len(found), i), found
+    turned = ((x[left] / norms[left, None]) @ rotations(dim)).astype(np.float32)
+    bound = SIGMAS * spread[right] / factor[right] / math.sqrt(max(1, dim - 1)) + ROUNDING
+    against = code[right].T
+    for a in range(0, len(left), ROWS):
+        estimate = (turned[a : a + ROWS] @ against) / factor[right]
+        doubtful = estimate + bound >= cosine
+        if same:
+            doubtful &= right[None, :] > left[a : a + ROWS, None]
+        i, j = np.nonzero(doubtful)
+        u, v = left[a + i], right[j]
+        linked = np.concatenate([np.einsum("ij,ij->i", x[u[k : k + PAIRS]], x[v[k : k + PAIRS]]) for k in range(0, len(u), PAIRS)] or [np.empty(0)])
+        linked = linked / (norms[u] * norms[v]) >= cosine
+        if linked.any():
+            yield u[linked], v[linked]
 
 
 def _verify(members: DataFrame, cosine: float) -> DataFrame:
@@ -221,7 +256,8 @@ def _verify(members: DataFrame, cosine: float) -> DataFrame:
                 own, bi, bj = cols["own"][at], cols["bi"][a], cols["bj"][a]
                 left, right = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
                 n, forest = np.zeros(b - a, dtype=np.int64), Forest(b - a)
-                for u, v in verified_pairs(x, left, right, cosine, bi == bj):
+                code = signs(cols["code"][at].tolist(), x.shape[1])
+                for u, v in verified_pairs(x, code, cols["factor"][at], cols["spread"][at], left, right, cosine, bi == bj):
                     n += np.bincount(u, minlength=b - a) + np.bincount(v, minlength=b - a)
                     lab = forest.labels()
                     apart = lab[u] != lab[v]
@@ -260,7 +296,7 @@ def near_duplicates(
     """
     rows = _prepared(vectors, id_col, vector_col, label_col)
     groups = star_components(_candidates(rows, cosine, miss))
-    members = rows.join(groups, F.col("rid") == F.col("node")).select("component", "label", "dim", "rid", "vector")
+    members = rows.join(groups, F.col("rid") == F.col("node")).select("component", "label", "dim", "rid", "vector", "code", "factor", "spread")
     checked = cut(_verify(members, cosine))
     counts = checked.where("kind = 0").groupBy(F.col("a").alias("rid")).agg(F.sum("b").alias("n_links"))
     roots = star_components(checked.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,18 +16,16 @@ from .common import text_slices
 #: Rows whose n-gram counts are held densely at a time.
 ROWS = 256
 #: Classes beyond which a label column is taken for something else.
-MAX_CLASSES = 64
-RESOLUTION = 1 << 20
+MAX_CLASSES = 1024
+#: Rows of a sample, at most.
+MOST_ROWS = 16_000
+RESOLUTION = 1 << 40
 
 
 @lru_cache(maxsize=1)
 def letters() -> np.ndarray:
-    """Code point -> its lower-case letter, or a space if it is no letter."""
-    table = np.full(0x30000, 32, dtype=np.uint32)
-    for c in range(len(table)):
-        if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
-            table[c] = ord(chr(c).lower()[0])
-    return table
+    """Code point -> its lower-case letter, or a space if it is no letter; all code points have one."""
+    return np.array([ord(c.lower()[0]) if c.isalpha() else 32 for c in map(chr, range(sys.maxunicode + 1))], dtype=np.uint32)
 
 
 def codepoints(text: str | None) -> np.ndarray:
@@ -34,8 +33,7 @@ def codepoints(text: str | None) -> np.ndarray:
 
 
 def letters_of(codes: np.ndarray) -> np.ndarray:
-    table = letters()
-    return table[np.minimum(codes, len(table) - 1)]
+    return letters()[codes]
 
 
 def ngram_counts(codes: list[np.ndarray], orders: tuple[int, ...], dims: int) -> np.ndarray:
@@ -66,24 +64,27 @@ def blocks(texts: list, rows: int = ROWS) -> Iterator[slice]:
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int
 ) -> tuple[DataFrame, dict]:
-    """((id, label, text) of a bounded sample, class -> number of labelled rows).
+    """((id, label, text) of a bounded sample, class -> number of labelled ids).
 
     Every class is drawn by a hash of the id at the rate that gives ``per_class`` rows, or
-    whole if it has no more; the draw does not depend on partitions.  Null ids, labels and
-    texts are left out, and of several labels of an id the greatest counts.
+    whole if it has no more; beyond ``MOST_ROWS`` rows in all, every class gets fewer, so each
+    of up to ``MAX_CLASSES`` classes takes part (more are an error).  The draw does not depend
+    on partitions.  Null ids, labels and texts are left out; of several labels of an id the
+    greatest counts, of several texts the one with the least hash, so an id is one row.
     """
     given = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     given = given.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     counts = {r["label"]: r["count"] for r in given.groupBy("label").count().limit(MAX_CLASSES + 1).collect()}
     if len(counts) > MAX_CLASSES:
         raise ValueError(f"{label_col} has more than {MAX_CLASSES} classes")
-    drawn = F.lit(False)
-    for label, n in counts.items():
-        rate = min(RESOLUTION, int(RESOLUTION * per_class / n) + 1)
-        drawn = drawn | ((F.col("label") == F.lit(label)) & (F.pmod(F.xxhash64("id"), F.lit(RESOLUTION)) < rate))
-    chosen = F.broadcast(given.where(drawn))
+    wanted = min(per_class, max(1, MOST_ROWS // max(1, len(counts))))
+    rates = [F.struct(F.lit(label).alias("label"), F.lit(min(RESOLUTION, int(RESOLUTION * wanted / n) + 1)).alias("rate")) for label, n in counts.items()]
+    draw = F.pmod(F.xxhash64("id"), F.lit(RESOLUTION))
+    rate = F.map_from_entries(F.array(*rates))[F.col("label")] if rates else F.lit(0)
+    chosen = F.broadcast(given.where(draw < rate))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.join(chosen, "id").select("id", "label", "text"), counts
+    sample = texts.join(chosen, "id").groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return sample.select("id", "label", F.col("t.text").alias("text")), counts
 
 
 def collect_features(sample: DataFrame, encode) -> list[tuple]:

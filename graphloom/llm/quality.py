@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import position_of, text_slices
 from .features import blocks, codepoints, collect_features, dense_rows, labelled_sample, ngram_counts, sparse_bytes
 
 ORDERS = (1, 2, 3)
@@ -178,10 +178,10 @@ def score(
 
 def select(docs: DataFrame, model: OrdinalModel, text_col: str = "text", wanted=None, least: float = LEAST) -> DataFrame:
     """The rows of ``docs`` whose tail probability is at least ``least``, all columns as they are."""
-    position = _position(model, wanted)
+    position, column = _position(model, wanted), position_of(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches, text_col):
+        for part, texts in text_slices(batches, column):
             good = part.filter(pa.array(_scores(model, texts, position)[1] >= least))
             if good.num_rows:
                 yield good

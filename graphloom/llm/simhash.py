@@ -28,13 +28,14 @@ from pyspark.sql import functions as F
 
 from ..plans.components import star_components
 from ..plans.lineage import cut
+from ..plans.skew import join_counted
 from .common import Forest, sorted_runs, split_hot, text_slices
 
 BITS = 64
 SEED = 42
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: (segments in the chain, parts of the segments after the first) of ever more selective keys.
-KEY_PLANS = ((2, 2), (3, 3), (4, 5))
+KEY_PLANS = ((2, 2), (3, 3), (4, 5), (5, 6), (5, 8))
 #: Chance partners of a fingerprint up to which a key plan is taken.
 CHANCE_PARTNERS = 64
 #: Fingerprints of a key that one task compares.
@@ -166,16 +167,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest id that links reach, the row's own included.  Rows of one
     fingerprint form a class, so exact copies are compared once.  Null and empty texts share
-    fingerprint zero and link like any other.  A repeated row is repeated in the result; a
-    row without an id gets its class's component, null if no row of the component has an id.
-    Other columns, whatever their names, are not looked at.  An empty table gives no rows.
+    fingerprint zero and link like any other.  A repeated row is repeated in the result; rows
+    without an id link like any other and have their component's id, null if no row of the
+    component has one.  Other columns, whatever their names, are not looked at.  An empty
+    table gives no rows.
     """
     rows = cut(fingerprints(docs, id_col, text_col))
-    classes = cut(rows.groupBy("fp").agg(F.min("id").alias("node")))
-    edges = links(classes.where("node is not null"), radius)
-    found = star_components(edges)
-    named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(named, "fp").select(
+    classes = cut(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")))
+    found = star_components(links(classes.select(F.col("fp").alias("node"), "fp"), radius))
+    linked = cut(classes.join(found, F.col("fp") == F.col("node")).select("fp", "least", "component"))
+    least = cut(linked.groupBy("component").agg(F.min("least").alias("of_all"), F.count(F.lit(1)).alias("members")))
+    named = join_counted(linked, least, "component", "members").select(F.col("fp").alias("_fp"), "of_all", F.lit(True).alias("_linked"))
+    reached = F.when(F.col("_linked"), F.col("of_all")).otherwise(F.col("least")).alias("component_id")
+    final = cut(classes.join(named, F.col("fp") == F.col("_fp"), "left").select("fp", "size", reached))
+    return join_counted(rows, final, "fp", "size").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",

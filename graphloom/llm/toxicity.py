@@ -3,8 +3,14 @@
 Terms are the distinct lower-case words of a text and their beginnings and ends.  The
 machine scores w0 + sum of w_i over the terms present + sum over pairs of <v_i, v_j>, so
 two terms that mean little alone, such as an insult and the mention of a group, can weigh
-together.  The terms that take part are those that the likelihood-ratio test on the fitted
-sample finds to depend on the label; the rest have weight zero.
+together.
+
+The terms that take part are those that the fitted sample shows to matter, all others have
+weight zero: terms whose presence depends on the label by a likelihood-ratio test, and both
+terms of every pair whose joint presence depends on it by much more than either term's does,
+though neither may by itself.  Pairs are tried among the ``PAIR_TERMS`` terms that most rows
+have, without those in nearly all or under one in a hundred.  There is no bound on the number
+of terms but what the sample holds.
 """
 
 from __future__ import annotations
@@ -18,15 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, text_slices
+from .common import Remembered, position_of, text_slices
 from .features import collect_features, labelled_sample
 
 WORDS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 22
 AFFIXES = (3, 4, 5, 6)
-TERMS = 2048
 #: Likelihood ratio from which a term takes part.
 LEAST_RATIO = 11.0
+#: What a pair's likelihood ratio must have over the greater one of its terms; millions of pairs are tried.
+LEAST_PAIR_RATIO = 40.0
+#: Terms whose pairs are tried.
+PAIR_TERMS = 2000
 FACTORS = 4
 PER_CLASS = 2000
 REMEMBERED = 150_000
@@ -52,7 +61,7 @@ def hashed_terms(texts: list[str | None]) -> list[bytes]:
 def likelihood_ratio(with_pos: np.ndarray, with_neg: np.ndarray, pos: int, neg: int) -> np.ndarray:
     """G statistic of each term's two-by-two table against independence."""
     total = pos + neg
-    g = np.zeros(len(with_pos))
+    g = np.zeros(np.shape(with_pos))
     for seen, rows, cols in (
         (with_pos, with_pos + with_neg, pos),
         (with_neg, with_pos + with_neg, neg),
@@ -64,6 +73,28 @@ def likelihood_ratio(with_pos: np.ndarray, with_neg: np.ndarray, pos: int, neg:
     return 2 * g
 
 
+def paired_terms(rows: list[np.ndarray], y: np.ndarray, every: np.ndarray, seen: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Positions in ``every`` of terms that depend on the label together with another one."""
+    common = np.flatnonzero((seen >= 0.01 * len(rows)) & (seen <= 0.95 * len(rows)))
+    common = np.sort(common[np.lexsort((common, -seen[common]))[:PAIR_TERMS]])
+    if len(common) < 2:
+        return common[:0]
+    present = np.zeros((len(rows), len(common)), dtype=np.float32)
+    for k, row in enumerate(rows):
+        at = np.searchsorted(every[common], row)
+        at = at[at < len(common)]
+        present[k, at[np.isin(every[common][at], row)]] = 1
+    pos, found = int(y.sum()), []
+    with_pos, with_neg = present[y == 1], present[y == 0]
+    for a in range(0, len(common), 256):
+        at = slice(a, a + 256)
+        both = likelihood_ratio((with_pos[:, at].T @ with_pos).astype(float), (with_neg[:, at].T @ with_neg).astype(float), pos, len(y) - pos)
+        alone = np.maximum(g[common][at, None], g[common][None, :])
+        left, right = np.nonzero(both >= alone + LEAST_PAIR_RATIO)
+        found.append(np.concatenate((left + a, right)))
+    return common[np.unique(np.concatenate(found))]
+
+
 class FactorizationMachine:
     """Weights of the chosen terms; ``terms`` are sorted hashes."""
 
@@ -82,8 +113,9 @@ class FactorizationMachine:
         every = np.unique(np.concatenate(has))
         counted = [np.bincount(np.searchsorted(every, h), minlength=len(every)) for h in has]
         g = likelihood_ratio(counted[0].astype(float), counted[1].astype(float), pos, neg)
-        best = np.lexsort((every, -g))[:TERMS]
-        terms = np.sort(every[best[g[best] >= LEAST_RATIO]])
+        chosen = g >= LEAST_RATIO
+        chosen[paired_terms(rows, y, every, counted[0] + counted[1], g)] = True
+        terms = every[chosen]
         place = {int(t): k for k, t in enumerate(terms)}
         x = [np.array([place[t] for t in r.tolist() if t in place], dtype=np.int64) for r in rows]
         rng = np.random.default_rng(seed)
@@ -174,9 +206,11 @@ def score(
 def remove_toxic(docs: DataFrame, machine: FactorizationMachine, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, all columns as they are."""
 
+    column = position_of(docs, text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(machine)
-        for part, texts in text_slices(batches, text_col):
+        for part, texts in text_slices(batches, column):
             clean = part.filter(pa.array(scorer.scores(texts) < threshold))
             if clean.num_rows:
                 yield clean

@@ -84,7 +84,7 @@ def members(stream) -> Iterator[tuple[int, bytes]]:
 def arc_line(version: int, fields: dict[str, str]) -> bytes:
     """A header line: the version's fields, none of which but the URL may hold a space."""
     values = [fields.get(k) or "-" for k in ARC_FIELDS[version]]
-    values = [re.sub(r"\s", lambda m: "%%%02X" % ord(m[0]), v) for v in values]
+    values = [re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), v) for v in values]
     return " ".join(values).encode()
 
 
@@ -215,6 +215,11 @@ def _base(uri: str) -> str:
     return uri.rsplit("/", 1)[1]
 
 
+def _one_each(files: DataFrame, name: str) -> DataFrame:
+    """``files`` in ranges of their names, a task each; a hash of the names would give some tasks several and others none."""
+    return files.repartitionByRange(max(1, files.count()), name)
+
+
 def write_arcs(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One gzipped ARC file for each partition, versions 1 and 2 in turn; (arc, records) of each.
 
@@ -268,7 +273,7 @@ def index_arcs(arcs: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    dealt = arcs.repartition(max(1, arcs.count()), "arc")
+    dealt = _one_each(arcs, "arc")
     return dealt.mapInArrow(run, "arc string, offset long, page long, digest string, bytes long")
 
 
@@ -292,8 +297,8 @@ def revisits(index: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     return joined.select("arc", "offset", *[F.when(keep, F.col(c)).alias(c) for c in ("to_page", "to_arc", "to_offset")])
 
 
-def convert_arcs(plan: DataFrame, out_dir: str) -> DataFrame:
-    """Converts each ARC file by its records' plan, streaming; (warc) of each file written."""
+def convert_arcs(plan: DataFrame, out_dir: str, archives: int) -> DataFrame:
+    """Converts each of so many ARC files by its records' plan, streaming, a task each; (warc) of each file written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(5))))
@@ -320,7 +325,8 @@ def convert_arcs(plan: DataFrame, out_dir: str) -> DataFrame:
             store(uri, fill)
             yield pa.RecordBatch.from_arrays([pa.array([uri])], ["warc"])
 
-    dealt = plan.select("arc", "offset", "to_page", "to_arc", "to_offset").repartition("arc").sortWithinPartitions("arc", "offset")
+    dealt = plan.select("arc", "offset", "to_page", "to_arc", "to_offset")
+    dealt = dealt.repartitionByRange(max(1, archives), "arc").sortWithinPartitions("arc", "offset")
     return cut(dealt.mapInArrow(run, "warc string"))
 
 
@@ -351,7 +357,7 @@ def read_warcs(warcs: DataFrame, id_col: str = "page_id") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     schema = f"{id_col} long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, warc_date string, record_id string"
-    return warcs.repartition(max(1, warcs.count()), "warc").mapInArrow(run, schema)
+    return _one_each(warcs, "warc").mapInArrow(run, schema)
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -364,7 +370,7 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     spark = pages.sparkSession
     arc_dir, warc_dir = fresh_dir(spark, "arc"), fresh_dir(spark, "warc")
     arcs = write_arcs(pages, arc_dir, id_col, url_col, html_col)
-    warcs = convert_arcs(revisits(cut(index_arcs(arcs))), warc_dir)
+    warcs = convert_arcs(revisits(cut(index_arcs(arcs))), warc_dir, arcs.count())
     remove_dir(spark, arc_dir)
     found = cut(read_warcs(warcs, id_col))
     remove_dir(spark, warc_dir)

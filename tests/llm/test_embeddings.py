@@ -67,12 +67,13 @@ def test_estimates_hold_within_their_bounds():
     x = rng.normal(size=(300, 64))
     x[150:] = x[:150] + 0.3 * rng.normal(size=(150, 64))
     u = embeddings.unit(x)
-    turned = u @ embeddings.rotations(64)[:, :64]
-    code = np.sign(turned) / 8
-    factor = (code * turned).sum(axis=1)
+    packed, factor, spread = embeddings.codes(u)
+    code, turned = embeddings.signs(list(map(bytes, packed)), 64), u @ embeddings.rotations(64)
+    assert code.shape == (300, 128) and packed.shape == (300, 16)
+    assert (code * turned).sum(axis=1) == pytest.approx(factor, abs=1e-5)
     estimate = (turned[:150] @ code[150:].T) / factor[None, 150:]
     true = u[:150] @ u[150:].T
-    bound = embeddings.SIGMAS * np.sqrt(1 - factor[150:] ** 2) / factor[150:] / math.sqrt(63)
+    bound = embeddings.SIGMAS * spread[150:] / factor[150:] / math.sqrt(63)
     assert (np.abs(estimate - true) <= bound[None, :]).all()
     assert abs((estimate - true).mean()) < 0.005
 
@@ -99,7 +100,7 @@ def test_pairs_at_the_threshold_meet(vectors):
     for a in range(0, len(x), 20_000):
         u, v = x[a : a + 20_000], y[a : a + 20_000]
         assert (embeddings.table_keys(u, bits, count) == embeddings.table_keys(v, bits, count)).any(axis=1).all()
-        apart = (embeddings.codes(u) != embeddings.codes(v)).sum(axis=1)
+        apart = np.bitwise_count(embeddings.codes(u)[0] ^ embeddings.codes(v)[0]).sum(axis=1)
         assert (apart <= embeddings.radius_for(128, 0.98, 0.25e-7)).all()
 
 
@@ -107,3 +108,16 @@ def test_radius_bounds_the_tail():
     p, r = math.acos(0.98) / math.pi, embeddings.radius_for(128, 0.98, 0.25e-7)
     tails = [sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(q + 1, 129)) for q in (r, r - 1)]
     assert tails[0] <= 0.25e-7 < tails[1]
+
+
+def test_recall_and_pruning_on_chained_clusters():
+    """Clusters at cosines from 0.9 on, which chain candidates: no link is lost, and most pairs are not recomputed."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(12, 64))
+    x = np.concatenate([c + s * rng.normal(size=(60, 64)) for c in centres for s in (0.1, 0.3)])
+    packed, factor, spread = embeddings.codes(embeddings.unit(x))
+    code, rows = embeddings.signs(list(map(bytes, packed)), 64), np.arange(len(x))
+    got = {(int(a), int(b)) for u, v in embeddings.verified_pairs(x, code, factor, spread, rows, rows, 0.98, True) for a, b in zip(u, v)}
+    u = embeddings.unit(x)
+    want = {(a, b) for a, b in zip(*np.nonzero(np.triu(u @ u.T >= 0.98, 1)))}
+    assert len(want) > 500 and got == want

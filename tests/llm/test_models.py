@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from graphloom.llm import language, quality, queries, toxicity
+from graphloom.llm import features, language, quality, queries, toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -53,6 +53,90 @@ def test_factorization_machine_learns_a_pair():
     assert float(v[at[10]] @ v[at[20]]) > 0.2
 
 
+def test_factorization_machine_learns_an_exclusive_or():
+    """Neither term depends on the label by itself; only their pair does."""
+    rng = np.random.default_rng(2)
+    rows, y = [], []
+    for _ in range(2000):
+        a, b = rng.integers(0, 2, 2)
+        rows.append(np.array([*([10] * a), *([20] * b), *np.unique(100 + rng.integers(0, 50, 2))], dtype=np.uint32))
+        y.append(int(a != b))
+    y = np.array(y)
+    fm = toxicity.FactorizationMachine.fit(rows[:1000], y[:1000], np.array([0.5, 0.5]))
+    assert {10, 20} <= set(fm.terms.tolist())
+    scores = np.array([fm.score([fm.place[t] for t in r.tolist() if t in fm.place]) for r in rows[1000:]])
+    assert ((scores > 0.5) == y[1000:]).mean() > 0.98
+
+
+def test_scores_equal_brute_force():
+    """The machine's pair sum, the centroids' cosines and the ordinal tails, term by term."""
+    rng = np.random.default_rng(4)
+    linear, factors = rng.normal(size=6), rng.normal(size=(6, toxicity.FACTORS))
+    fm = toxicity.FactorizationMachine(np.arange(6, dtype=np.uint32), -0.5, linear, factors)
+    for at in ([], [2], [0, 3, 5], [0, 1, 2, 3, 4, 5]):
+        z = -0.5 + sum(linear[i] for i in at) + sum(float(factors[i] @ factors[j]) for i in at for j in at if i < j)
+        assert fm.score(at) == pytest.approx(1 / (1 + np.exp(-z)))
+    texts = ["the cat and the dog", "der hund und die katze", "le chien et le chat", "cats, dogs"]
+    counts, _ = language.raw_features(texts)
+    model = language.CentroidModel.fit(counts, ["en", "de", "fr", "en"], k=2)
+    names, score, _ = model.predict(["the dog", "die katze und", "1 2"])
+    for text, name, top in zip(["the dog", "die katze und"], names, score):
+        own = [float(np.log1p(c) * w) for c, w in zip(language.raw_features([text])[0][0], model.idf)]
+        norm = sum(x * x for x in own) ** 0.5
+        cosines = [(sum(x * float(y) for x, y in zip(own, c)) / norm, n) for c, n in zip(model.centroids, model.languages)]
+        assert (name, top) == (max(cosines)[1], pytest.approx(max(cosines)[0], rel=1e-4))
+    assert names[2] == "und"
+    n = len(texts)
+    seen = [sum(row[k] > 0 for row in counts) for k in range(language.DIMS)]
+    assert model.idf == pytest.approx([np.log((1 + n) / (1 + s)) + 1 for s in seen], rel=1e-5)
+    ordinal = quality.OrdinalModel([1, 2, 5], rng.normal(size=quality.DIMS + quality.EXTRA).astype(np.float32), np.array([-0.3, 0.8]))
+    grade, tail = quality._scores(ordinal, texts, 2)
+    for text, g, t in zip(texts, grade, tail):
+        x = np.log1p(quality.raw_features([text])[0].astype(float))
+        x[: quality.DIMS] /= np.sqrt((x[: quality.DIMS] ** 2).sum())
+        x[quality.DIMS :] = quality.raw_features([text])[0][quality.DIMS :]
+        least = [1 / (1 + np.exp(-(float(x @ ordinal.weights) - c))) for c in ordinal.thresholds]
+        assert t == pytest.approx(least[1], rel=1e-3) and g == pytest.approx(1 + least[0] + 3 * least[1], rel=1e-3)
+
+
+def test_letters_of_all_planes():
+    assert language.raw_features(["𰀀𱍊", "12 ..", "𝔘"])[1].tolist() == [True, False, True]
+
+
+def test_columns_are_found_in_any_case_or_refused(spark):
+    docs = spark.createDataFrame([(k, f"{'good words here' if k % 2 else 'BAD BAD BAD'} {k}", "x") for k in range(20)], "doc_id long, Text string, other string")
+    labels = spark.createDataFrame([(k, k % 2, 1 - k % 2) for k in range(20)], "doc_id long, quality int, toxic int")
+    model, machine = quality.fit(docs, labels), toxicity.fit(docs, labels)
+    kept = {r.doc_id for r in quality.score(docs, model).where("kept").collect()}
+    assert 0 < len(kept) < 20 and {r.doc_id for r in quality.select(docs, model).collect()} == kept
+    clean = {r.doc_id for r in toxicity.score(docs, machine).where("predicted = 0").collect()}
+    assert {r.doc_id for r in toxicity.remove_toxic(docs, machine).collect()} == clean
+    with pytest.raises(ValueError):
+        toxicity.remove_toxic(docs.drop("Text"), machine)
+    with pytest.raises(ValueError):
+        quality.select(docs.drop("Text"), model)
+
+
+def test_sample_is_bounded_in_rows(spark):
+    """A repeated id is one row, whatever its texts, and many classes share the bound."""
+    docs = spark.range(3000).selectExpr("id % 3 AS doc_id", "concat('text ', id % 7) AS text")
+    labels = spark.range(3).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS y")
+    sample, counts = features.labelled_sample(docs, labels, "doc_id", "text", "y", 10)
+    assert sample.count() == 3 and counts == {0: 2, 1: 1}
+    many = spark.range(2000).selectExpr("id AS doc_id", "cast(id % 100 AS string) AS y", "'t' AS text")
+    sample, counts = features.labelled_sample(many, many.select("doc_id", "y"), "doc_id", "text", "y", 1000)
+    assert len(counts) == 100 and sample.select("y" if "y" in sample.columns else "label").distinct().count() == 100
+
+
+def test_quality_held_out(spark):
+    """Fitted on three quarters of the ratings, judged on the rest."""
+    docs, labels = queries.table(spark, SF, "documents"), queries.table(spark, SF, "labels")
+    apart = queries.crc32_bucket("doc_id", 4) == 2
+    model = quality.fit(docs, labels.where(~apart))
+    found = quality.score(docs.join(labels.where(apart), "doc_id"), model).toPandas().merge(labels.toPandas())
+    assert len(found) > 500 and found.kept[found.quality == 1].mean() > 0.98 and found.kept[found.quality == 0].mean() < 0.1
+
+
 def test_held_out_accuracy(spark):
     lang = queries.op6_language(spark, SF).toPandas().merge(queries.table(spark, SF, "documents").select("doc_id", "lang").toPandas())
     assert len(lang) == 10_000 and lang.score.between(0, 1).all()
@@ -61,7 +145,7 @@ def test_held_out_accuracy(spark):
     assert len(tox) == 10_000 and ((tox.score >= 0.3) == (tox.predicted == 1)).all()
     tox = tox.merge(queries.table(spark, SF, "labels").toPandas())
     out = tox[tox.held_out]
-    assert (out.predicted[out.toxic == 1] == 1).mean() > 0.75 and (out.predicted[out.toxic == 0] == 0).mean() > 0.99
+    assert (out.predicted[out.toxic == 1] == 1).mean() > 0.85 and (out.predicted[out.toxic == 0] == 0).mean() > 0.99
     good = queries.op9_quality(spark, SF).toPandas().merge(queries.table(spark, SF, "labels").toPandas())
     assert good.kept[good.quality == 1].mean() > 0.99 and good.kept[good.quality == 0].mean() < 0.1
 

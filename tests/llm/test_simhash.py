@@ -26,7 +26,7 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text) == plain_fingerprint(text)
 
 
-@pytest.mark.parametrize("radius,chain,parts", [(4, 2, 2), (4, 3, 3), (4, 4, 5), (2, 2, 2), (6, 3, 4)])
+@pytest.mark.parametrize("radius,chain,parts", [(4, 2, 2), (4, 3, 3), (4, 4, 5), (4, 5, 6), (4, 5, 8), (2, 2, 2), (6, 3, 4)])
 def test_every_close_pair_meets_and_links(radius, chain, parts):
     keys = simhash.key_masks(radius, chain, parts)
     rng = random.Random(radius)
@@ -76,6 +76,35 @@ def test_odd_documents(odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
+def test_rows_without_an_id_link(spark, monkeypatch):
+    """A class whose rows have no id stands between two others, and has their component; a lone one has none."""
+    points = {0x0: [1], 0xF: [None, None], 0xFF: [2], 0xFFFF0000: [None], 0xFFFFF000: [None, 5], 1 << 60: [7, None]}
+    docs = spark.createDataFrame([(d, fp) for fp, ids in points.items() for d in ids], "id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: docs)
+    got = sorted((r.fingerprint, str(r.doc_id), r.component_id) for r in simhash.near_duplicates(docs).collect())
+    assert got == sorted([
+        (f"{0:016x}", "1", 1), (f"{15:016x}", "None", 1), (f"{15:016x}", "None", 1), (f"{255:016x}", "2", 1), (f"{0xFFFF0000:016x}", "None", 5),
+        (f"{0xFFFFF000:016x}", "None", 5), (f"{0xFFFFF000:016x}", "5", 5), (f"{1 << 60:016x}", "7", 1), (f"{1 << 60:016x}", "None", 1),
+    ])
+
+
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_every_pair_of_a_hot_key_meets(spark, monkeypatch, sent):
+    """By a broadcast of the hot keys, and by salts where they are too many for one."""
+    monkeypatch.setattr(common, "SENT_KEYS", sent)
+    rows = [(1, k) for k in range(50)] + [(2, k) for k in range(50, 70)] + [(3, k) for k in range(70, 73)]
+    dealt = common.split_hot(spark.createDataFrame(rows, "k int, x int"), ["k"], "x", 8).collect()
+    tasks, blocks = {}, {}
+    for r in dealt:
+        tasks.setdefault((r.k, r.bi, r.bj), []).append(r.x)
+        blocks[r.x] = r.own
+    for k, n in ((1, 50), (2, 20), (3, 3)):
+        own = [x for key, x in rows if key == k]
+        met = {(a, b) for key, xs in tasks.items() if key[0] == k for a in xs for b in xs if {blocks[a], blocks[b]} == {key[1], key[2]} or blocks[a] == blocks[b]}
+        assert met >= {(a, b) for a in own for b in own} and len(own) == n
+    assert max(map(len, tasks.values())) < 50
+
+
 def test_near_copies_in_split_keys(spark, monkeypatch):
     """A group of near copies larger than a block, and components in rounds."""
     monkeypatch.setattr(simhash, "BLOCK", 8)
