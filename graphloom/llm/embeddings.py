@@ -18,11 +18,13 @@ Vectors are compared within a label (and dimension).  Two steps:
    pair whose upper bound is below the threshold is dropped; any other is recomputed in double
    precision, and only what that finds at or above the threshold is a link.
 
-Hot buckets and components are dealt into pairs of blocks, so no task holds one whole.
+Rows of equal label and vector are one class from the start, which counts as many links as it
+has rows, so copies cost no pairs.  Hot buckets and components are dealt into pairs of blocks, so no task holds one whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import star_components
 from ..plans.lineage import cut
+from ..plans.skew import join_counted
 from .common import Forest, sorted_runs, split_hot
 
 COSINE = 0.98
@@ -109,7 +112,8 @@ def radius_for(width: int, cosine: float, miss: float) -> int:
 
 
 def _prepared(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """(rid, id, label, dim, vector, code, factor, spread) with a row number; dim 0 marks what links with nothing and has no code."""
+    """(rid, id, label, dim, vector, code, factor, spread, same) with a row number and a digest of label and
+    vector; dim 0 marks what links with nothing and has neither code nor digest."""
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(
         F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), v.alias("vector")
@@ -127,18 +131,27 @@ def _prepared(vectors: DataFrame, id_col: str, vector_col: str, label_col: str)
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             code: list[bytes | None] = [None] * len(dims)
+            same: list[bytes | None] = [None] * len(dims)
             factor, spread = np.zeros(len(dims)), np.zeros(len(dims))
             for dim in np.unique(dims[dims > 0]).tolist():
                 at = np.flatnonzero(dims == dim)
-                packed, factor[at], spread[at] = codes(unit(stacked(batch.column("vector").take(pa.array(at)), dim)))
-                for k, c in zip(at.tolist(), map(bytes, packed)):
-                    code[k] = c
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(code, pa.binary()), pa.array(factor), pa.array(spread)], [*batch.schema.names, "code", "factor", "spread"]
-            )
+                vectors, labels = stacked(batch.column("vector").take(pa.array(at)), dim), batch.column("label").take(pa.array(at)).to_pylist()
+                packed, factor[at], spread[at] = codes(unit(vectors))
+                for k, c, v, label in zip(at.tolist(), map(bytes, packed), vectors, labels):
+                    code[k], same[k] = c, hashlib.blake2b(v.tobytes() + repr(label).encode(), digest_size=16).digest()
+            columns = [pa.array(code, pa.binary()), pa.array(factor), pa.array(spread), pa.array(same, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "code", "factor", "spread", "same"])
 
     kind = rows.schema["label"].dataType.simpleString()
-    return cut(rows.mapInArrow(coded, f"rid long, id long, label {kind}, dim int, vector array<double>, code binary, factor double, spread double"))
+    return cut(rows.mapInArrow(coded, f"rid long, id long, label {kind}, dim int, vector array<double>, code binary, factor double, spread double, same binary"))
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """One row for each distinct vector of a label, with its number of rows (size) and their least id; copies are
+    counted by partial aggregates, so a group of them is never gathered and makes no pairs."""
+    once = [F.first(c).alias(c) for c in ("label", "dim", "vector", "code", "factor", "spread")]
+    found = rows.where("dim > 0").groupBy("same").agg(F.min("rid").alias("rid"), F.min("id").alias("least"), F.count(F.lit(1)).alias("size"), *once)
+    return cut(found)
 
 
 def stacked(vectors: pa.Array, dim: int) -> np.ndarray:
@@ -242,7 +255,7 @@ def verified_pairs(
 
 
 def _verify(members: DataFrame, cosine: float) -> DataFrame:
-    """(kind, a, b): kind 0 is a vector and a number of its links, kind 1 an edge of a forest of links."""
+    """(kind, a, b): kind 0 is a class and a number of rows that it links with, kind 1 an edge of a forest of links."""
     dealt = split_hot(members, ["component", "label", "dim"], "rid", BLOCK)
     order = ["component", "label", "dim", "bi", "bj"]
 
@@ -253,12 +266,13 @@ def _verify(members: DataFrame, cosine: float) -> DataFrame:
                 at = np.arange(a, b)
                 x = matrix(cols, at, int(cols["dim"][a]))
                 x = x / np.abs(x).max(axis=1, keepdims=True)
+                size = cols["size"][at].astype(float)
                 own, bi, bj = cols["own"][at], cols["bi"][a], cols["bj"][a]
                 left, right = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
                 n, forest = np.zeros(b - a, dtype=np.int64), Forest(b - a)
                 code = signs(cols["code"][at].tolist(), x.shape[1])
                 for u, v in verified_pairs(x, code, cols["factor"][at], cols["spread"][at], left, right, cosine, bi == bj):
-                    n += np.bincount(u, minlength=b - a) + np.bincount(v, minlength=b - a)
+                    n += (np.bincount(u, size[v], b - a) + np.bincount(v, size[u], b - a)).astype(np.int64)
                     lab = forest.labels()
                     apart = lab[u] != lab[v]
                     forest.link(u[apart], v[apart])
@@ -295,23 +309,26 @@ def near_duplicates(
     row is not kept.  Other columns are not looked at.
     """
     rows = _prepared(vectors, id_col, vector_col, label_col)
-    groups = star_components(_candidates(rows, cosine, miss))
-    members = rows.join(groups, F.col("rid") == F.col("node")).select("component", "label", "dim", "rid", "vector", "code", "factor", "spread")
+    classes = _classes(rows)
+    groups = star_components(_candidates(classes, cosine, miss))
+    members = classes.join(groups, F.col("rid") == F.col("node")).select("component", "label", "dim", "rid", "size", "vector", "code", "factor", "spread")
     checked = cut(_verify(members, cosine))
-    counts = checked.where("kind = 0").groupBy(F.col("a").alias("rid")).agg(F.sum("b").alias("n_links"))
+    counts = checked.where("kind = 0").groupBy(F.col("a").alias("rid")).agg(F.sum("b").alias("others"))
     roots = star_components(checked.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    roots = roots.select(F.col("node").alias("rid"), F.col("component").alias("root"))
-    named = rows.select("rid", "id").join(roots, "rid")
-    least = named.groupBy("root").agg(F.min("id").alias("least"))
-    linked = named.join(least, "root").select("rid", "least").join(counts, "rid")
-    component = F.coalesce("least", "id")
-    return (
-        rows.select("rid", "id")
-        .join(linked, "rid", "left")
-        .select(
-            F.col("id").alias(id_col),
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-            component.alias("component_id"),
-            F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
-        )
+    named = cut(classes.select("rid", "least").join(roots.select(F.col("node").alias("rid"), F.col("component").alias("root")), "rid"))
+    of_root = cut(named.groupBy("root").agg(F.min("least").alias("of_all"), F.count(F.lit(1)).alias("members")))
+    linked = join_counted(named, of_root, "root", "members").select("rid", "of_all").join(counts, "rid")
+    found = classes.select("rid", "same", "size", "least").join(linked, "rid", "left").select(
+        "same",
+        "size",
+        (F.col("size") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"),
+        F.coalesce("of_all", "least").alias("component"),
+    )
+    alone = rows.where("dim = 0").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    every = join_counted(rows.where("dim > 0").select("same", "id"), cut(found), "same", "size").select("id", "n_links", "component")
+    return every.unionByName(alone).select(
+        F.col("id").alias(id_col),
+        "n_links",
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"),
     )
