@@ -396,3 +396,23 @@ def goal_directed(pdf: pd.DataFrame, source, target, estimate: Callable) -> pd.D
                 n += 1
                 heapq.heappush(heap, (dist[t] + estimate(t, target), n, t))
     return frame([], ["pos", "id", "distance"])
+
+
+def grown(pdf: pd.DataFrame) -> pd.DataFrame:
+    """eids of a tree's edges in the order in which it grows from its first vertex, the least (weight, order) at its rim first."""
+    near, rim, out = defaultdict(list), [], []
+    for a, b, w, o, e in pdf[["src_ord", "dst_ord", "weight", "ord", "eid"]].itertuples(index=False):
+        near[a].append((w, o, e, b))
+        near[b].append((w, o, e, a))
+    inside = {min(near)}
+    for edge in near[min(near)]:
+        heapq.heappush(rim, edge)
+    while rim:
+        _, _, e, v = heapq.heappop(rim)
+        if v not in inside:
+            inside.add(v)
+            out.append((e, len(out)))
+            for edge in near[v]:
+                if edge[3] not in inside:
+                    heapq.heappush(rim, edge)
+    return frame(out, ["eid", "step"])

@@ -55,16 +55,22 @@ class SingleSourcePaths:
         return not self.rows.where(F.col("id") == F.lit(target)).isEmpty()
 
     def to(self, target: Any) -> ShortestPathResult:
-        """The path to a vertex, walking the predecessors back."""
+        """The path to a vertex; rounds of doubled jumps over the predecessors, so they grow with its logarithm."""
         self.graph._known(target)
         row = self.rows.where(F.col("id") == F.lit(target)).first()
         if row is None:
             return ShortestPathResult(self.source, target, False, [])
-        path, at = [target], row
-        while at["predecessor"] is not None:
-            path.append(at["predecessor"])
-            at = self.rows.where(F.col("id") == F.lit(at["predecessor"])).first()
-        return ShortestPathResult(self.source, target, True, path[::-1], row["distance"])
+        jump = cut(self.rows.where("predecessor is not null").select("id", F.col("predecessor").alias("up")))
+        jumps = []
+        while not jump.where(F.col("id") == F.lit(target)).isEmpty():
+            jumps.append(jump)
+            jump = cut(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("far")), "up").select("id", F.col("far").alias("up")))
+        found = self.rows.where(F.col("id") == F.lit(target)).select("id", F.lit(0).cast("long").alias("back"))
+        for k in reversed(range(len(jumps))):
+            further = found.join(jumps[k], "id").select(F.col("up").alias("id"), (F.col("back") + (1 << k)).alias("back"))
+            found = cut(found.unionByName(further))
+        path = [r["id"] for r in found.orderBy(F.desc("back")).collect()]
+        return ShortestPathResult(self.source, target, True, path, row["distance"])
 
 
 def _weighted_arcs(g: PropertyGraph, weight: str | None) -> DataFrame:

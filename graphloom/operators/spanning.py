@@ -11,6 +11,8 @@ from ..graph import PropertyGraph
 from ..plans.components import star_components
 from ..plans.lineage import cut
 from ..plans.supersteps import check
+from . import kernels
+from .connectivity import component_ords
 
 
 class SpanningForestAlgorithm(Protocol):
@@ -54,9 +56,26 @@ class Kruskal:
     def __init__(self, weight: str = "weight"):
         self.weight = weight
 
-    def find(self, g: PropertyGraph) -> DataFrame:
-        return minimum_spanning_forest(g, self.weight)
+    def find(self, g: PropertyGraph, should_stop=None) -> DataFrame:
+        return minimum_spanning_forest(g, self.weight, should_stop)
 
 
-class Prim(Kruskal):
-    """A minimum spanning forest of the same total weight; grown by the same engine."""
+class Prim:
+    """Trees grown one after another, each from its first vertex, by the least edge at the rim.
+
+    Under a total order the least edge that leaves a tree is always one of the forest, so only
+    the forest's edges, one less than the vertices, are grown over: rounds over all edges find
+    them, then a task a tree, of bounded size, puts them in the order of growth.
+    """
+
+    def __init__(self, weight: str = "weight"):
+        self.weight = weight
+
+    def find(self, g: PropertyGraph, should_stop=None) -> DataFrame:
+        """The forest's edges with ``tree``, the order of the tree's first vertex, and ``step``, 0 for its first edge."""
+        forest = g.with_edges(cut(minimum_spanning_forest(g, self.weight, should_stop)))
+        labels = component_ords(forest, should_stop).select(F.col("ord").alias("src_ord"), F.col("label").alias("tree"))
+        rows = forest.edges_with_ords().join(labels, "src_ord").select("tree", "src_ord", "dst_ord", F.col(self.weight).alias("weight"), "ord", "eid")
+        rows = cut(rows)
+        steps = kernels.by_component(rows, ["tree"], kernels.grown, "eid long, step long").join(rows.select("eid", "tree"), "eid")
+        return forest.edges.join(steps, "eid").select(*g.edges.columns, "tree", "step")

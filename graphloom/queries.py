@@ -13,6 +13,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import NegativeWeightError
 from .graph import GraphBuilder, PropertyGraph
 from .hypergraph import Hypergraph
 from .operators import centrality, connectivity, euler, flow, matching, metrics, paths, setops, spanning, structure, traversal
@@ -340,10 +341,27 @@ def p4_bellman_ford(spark, sf_dir):
     return paths.BellmanFord("weight").find_paths_from(tilted, 0).distances
 
 
-@query(f"WITH {NATION_WALKS} SELECT distance FROM d12 WHERE id = 17")
+@query(f"WITH {NATION_WALKS} SELECT n.strategy, distance FROM d12, (VALUES ('Dijkstra'), ('BellmanFord'), ('AStar')) n(strategy) WHERE id = 17")
+def p1_strategies(spark, sf_dir):
+    g = derived.nation_flow(spark, sf_dir)
+    strategies: list[paths.ShortestPathAlgorithm] = [paths.Dijkstra("weight"), paths.BellmanFord("weight"), paths.AStar("weight", lambda a, b: 0)]
+    rows = [(type(s).__name__, s.find_path(g, 0, 17).distance) for s in strategies]
+    return spark.createDataFrame(rows, "strategy string, distance long")
+
+
+def manhattan(a: int, b: int) -> int:
+    return abs(a % 20 - b % 20) + abs(a // 20 - b // 20)
+
+
+@query("""WITH n AS (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation)
+    SELECT k * 16 % 400 AS target, k * 16 % 400 % 20 + k * 16 % 400 // 20 AS distance, k * 16 % 400 % 20 + k * 16 % 400 // 20 + 1 AS vertices FROM n WHERE k < 6""")
 def p5_a_star(spark, sf_dir):
-    found = paths.AStar("weight", lambda a, b: 0).find_path(derived.nation_flow(spark, sf_dir), 0, 17)
-    return row(spark, distance=found.distance)
+    """Manhattan distances guide the search on a grid of 20 by 20, to vertices named by nations."""
+    targets = sorted(16 * r[0] % 400 for r in derived.table(spark, sf_dir, "nation").where("n_nationkey < 6").select("n_nationkey").collect())
+    g = generate.grid(spark, 20, 20)
+    g = g.with_edges(g.edges.withColumn("weight", F.lit(1).cast("long"))).freeze()
+    found = [paths.AStar("weight", manhattan).find_path(g, 0, t) for t in targets]
+    return spark.createDataFrame([(t, f.distance, len(f.path)) for t, f in zip(targets, found)], "target long, distance long, vertices long")
 
 
 def doubled(rounds: int) -> str:
@@ -371,6 +389,19 @@ def p8_shortest_paths_from(spark, sf_dir):
     return paths.shortest_paths_from(derived.geo_tree(spark, sf_dir), 1, weight=None).distances
 
 
+@query(f"""WITH RECURSIVE {TREE} SELECT n_nationkey + 100 AS target, gw.id IS NOT NULL AS reachable, CAST(gw.level AS BIGINT) AS distance,
+    array_to_string(gw.path, ',') AS path FROM nation LEFT JOIN gw ON gw.id = n_nationkey + 100""")
+def p9_result(spark, sf_dir):
+    g = derived.geo_tree(spark, sf_dir)
+    found = paths.shortest_paths_from(g, 1, weight=None)
+    nations = [int(r[0]) + 100 for r in derived.table(spark, sf_dir, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]
+    rows = [(t, found.is_reachable(t), found.to(t)) for t in nations]
+    return spark.createDataFrame(
+        [(t, r, p.distance if r else None, ",".join(map(str, p.path)) if r else None) for t, r, p in rows],
+        "target int, reachable boolean, distance long, path string",
+    )
+
+
 @query(f"WITH {CONV_CHAIN}, k AS (SELECT min(conv_id) AS c FROM tt) SELECT id, row_number() OVER (ORDER BY turn) - 1 AS pos FROM tt, k WHERE conv_id = c")
 def p10_path(spark, sf_dir):
     g = derived.conv_chain(spark, sf_dir)
@@ -506,6 +537,13 @@ def k5_weighted_betweenness(spark, sf_dir):
     return rounded(centrality.betweenness_centrality(derived.nation_flow(spark, sf_dir), "weight"), "score")
 
 
+@query("WITH n AS (SELECT 8 * count(*) AS n FROM nation) SELECT v AS id, round(CAST(v * (n - 1 - v) AS DOUBLE), 8) AS score FROM n, LATERAL (SELECT unnest(range(n)) AS v)")
+def k6_parallel_betweenness(spark, sf_dir):
+    """Sources dealt over the tasks; on a path a vertex lies between all pairs of its two sides."""
+    n = 8 * derived.table(spark, sf_dir, "nation").count()
+    return rounded(centrality.betweenness_centrality(generate.path(spark, n)), "score")
+
+
 def powers(step: str, first: str, rounds: int) -> str:
     parts = [f"x0 AS ({first})"]
     for k in range(1, rounds + 1):
@@ -563,9 +601,12 @@ def s2_degree_sequence(spark, sf_dir, least=48):
     return structure.degree_sequence(derived.copurchase_pairs(spark, sf_dir, least))
 
 
-@query("SELECT true AS shipping")
+@query(f"""WITH {SUPP_PART}, {NATION_FLOW} SELECT NOT EXISTS (SELECT 1 FROM se a JOIN se b ON a.dst = b.src) AS shipping,
+    NOT EXISTS (SELECT 1 FROM ne a JOIN ne b ON a.dst = b.src JOIN ne c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.dst < b.dst) AS trade""")
 def s3_is_bipartite(spark, sf_dir):
-    return row(spark, shipping=structure.is_bipartite(derived.supp_part(spark, sf_dir)))
+    nations = derived.nation_flow(spark, sf_dir)
+    trade = PropertyGraph.from_dataframes(nations.edges.where("src < dst"), nations.vertices, directed=False)
+    return row(spark, shipping=structure.is_bipartite(derived.supp_part(spark, sf_dir)), trade=structure.is_bipartite(trade))
 
 
 @query(f"""WITH RECURSIVE {GEO_TREE}, w AS (
@@ -677,9 +718,28 @@ def x1_kruskal(spark, sf_dir, least=48):
     return spanning.Kruskal().find(derived.copurchase_pairs(spark, sf_dir, least)).select("src", "dst", "weight")
 
 
-@query(f"""WITH RECURSIVE {REACH_HI} SELECT (SELECT count(*) FROM cv) - (SELECT count(DISTINCT component) FROM cc) AS edges""")
+KRUSKAL_HI = f"""{HI}, ranked AS (SELECT src, dst, weight, row_number() OVER (ORDER BY weight, src, dst) AS r FROM ce),
+    mr AS (
+        SELECT r, src AS pos FROM ranked
+        UNION SELECT m.r, CASE WHEN e.src = m.pos THEN e.dst ELSE e.src END FROM mr m JOIN ranked e ON e.r < m.r AND (e.src = m.pos OR e.dst = m.pos)
+    ), forest AS (SELECT src, dst, weight FROM ranked WHERE NOT EXISTS (SELECT 1 FROM mr WHERE mr.r = ranked.r AND mr.pos = ranked.dst))"""
+
+
+@query(f"WITH RECURSIVE {KRUSKAL_HI} SELECT count(*) AS edges, CAST(sum(weight) AS BIGINT) AS weight, CAST(0 AS BIGINT) AS apart FROM forest")
 def x2_prim(spark, sf_dir, least=48):
-    return row(spark, edges=spanning.Prim().find(derived.copurchase_pairs(spark, sf_dir, least)).count())
+    g = derived.copurchase_pairs(spark, sf_dir, least)
+    grown = cut(spanning.Prim().find(g))
+    # every edge but a tree's first has an end at an earlier one
+    ends = grown.select("tree", "step", F.explode(F.array("src", "dst")).alias("v"))
+    joined = ends.alias("a").join(ends.alias("b"), (F.col("a.tree") == F.col("b.tree")) & (F.col("a.v") == F.col("b.v")) & (F.col("b.step") < F.col("a.step")))
+    apart = grown.where("step > 0").count() - joined.select("a.tree", "a.step").distinct().count()
+    total = grown.agg(F.sum("weight")).first()[0]
+    return row(spark, edges=grown.count(), weight=total, apart=apart)
+
+
+@query(f"WITH RECURSIVE {KRUSKAL_HI} SELECT src, dst, weight FROM forest")
+def x3_spanning_forest(spark, sf_dir, least=48):
+    return spanning.minimum_spanning_forest(derived.copurchase_pairs(spark, sf_dir, least)).select("src", "dst", "weight")
 
 
 def _flow_row(spark, found) -> DataFrame:
@@ -702,6 +762,35 @@ def x5_dinic(spark, sf_dir):
     return _flow_row(spark, flow.Dinic().find(derived.nation_flow(spark, sf_dir), 1, 4))
 
 
+@query(CUT_IS_FLOW.replace("SELECT CAST(least", "SELECT 'EdmondsKarp' AS algorithm, CAST(least") + " UNION ALL " + "SELECT 'Dinic', CAST(least(s.w, t.w) AS BIGINT), CAST(least(s.w, t.w) AS BIGINT), true FROM s, t")
+def x6_maximum_flow(spark, sf_dir):
+    g = derived.nation_flow(spark, sf_dir)
+    facade, dinic = flow.maximum_flow(g, 1, 4), flow.Dinic().find(g, 1, 4)
+    named = lambda name, found: _flow_row(spark, found).withColumn("algorithm", F.lit(name))
+    return named("EdmondsKarp", facade).unionByName(named("Dinic", dinic))
+
+
+def refused(call, *errors) -> bool:
+    try:
+        call()
+    except errors:
+        return True
+    return False
+
+
+@query(f"""WITH {NATION_FLOW} SELECT id, NOT EXISTS (SELECT 1 FROM ne WHERE src = nv.id) AS isolated, id = 4 AS same, true AS undirected, true AS negative, true AS unknown FROM nv WHERE id = 4""")
+def x8_flow_guards(spark, sf_dir):
+    g = derived.nation_flow(spark, sf_dir)
+    turned = g.with_edges(g.edges.withColumn("weight", -F.col("weight")))
+    return row(
+        spark, id=4, isolated=g.out_edges(4).isEmpty(),
+        same=refused(lambda: flow.maximum_flow(g, 4, 4), ValueError),
+        undirected=refused(lambda: flow.maximum_flow(PropertyGraph(g.vertices, g.edges, False, False), 1, 4), ValueError),
+        negative=refused(lambda: flow.maximum_flow(turned, 1, 4), NegativeWeightError),
+        unknown=refused(lambda: flow.maximum_flow(g, 1, 4_000), ValueError),
+    )
+
+
 @query(f"WITH {NATION_FLOW} SELECT (SELECT count(*) FROM ne WHERE src <> dst) AS edges, CAST(0 AS BIGINT) AS unbalanced, CAST(0 AS BIGINT) AS overfull")
 def x7_flow_conservation(spark, sf_dir):
     g = derived.nation_flow(spark, sf_dir)
@@ -739,6 +828,15 @@ def x11_euler_circuit(spark, sf_dir):
     return row(spark, edges=n, distinct_edges=trail.select("eid").distinct().count(), breaks=breaks)
 
 
+@query("WITH n AS (SELECT count(*) AS n FROM nation) SELECT CAST(k AS BIGINT) AS pos, CAST(k AS BIGINT) AS from_id, CAST(k + 1 AS BIGINT) AS to_id FROM n, LATERAL (SELECT unnest(range(n - 1)) AS k)")
+def x11_euler_path(spark, sf_dir):
+    """A graph with a path and no circuit has that path's trail from one end to the other."""
+    g = generate.path(spark, derived.table(spark, sf_dir, "nation").count())
+    if euler.find_eulerian_circuit(g) is not None:
+        raise AssertionError("a path has no circuit")
+    return euler.find_eulerian_path(g).select("pos", "from_id", "to_id")
+
+
 # -- hypergraphs ------------------------------------------------------------------------------
 
 ORDER_PARTS = "hp AS (SELECT DISTINCT l_orderkey AS hid, l_partkey AS v FROM lineitem)"
@@ -867,6 +965,15 @@ def z6_node_link(spark, sf_dir):
     return row(spark, edges=len(doc["edges"]), weight=sum(e["weight"] for e in doc["edges"]), nodes=len(doc["nodes"]), directed=doc["directed"])
 
 
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, CAST(2 * n_regionkey AS BIGINT) AS twice, length(n_name) AS letters FROM nation")
+def z9_typed_attributes(spark, sf_dir):
+    n = derived.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_nationkey").cast("long").alias("ord"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    g = PropertyGraph(n, derived.nation_flow(spark, sf_dir).edges)
+    doc = documents.parse_graphml_document(spark, text_formats.text(text_formats.to_graphml(g, vertex_attributes=["name", "region"])))
+    twice = (2 * doc.attribute("region", "int")).cast("long").alias("twice")
+    return doc.vertex_data.select("id", twice, F.length(doc.attribute("name")).cast("long").alias("letters"))
+
+
 @query(f"WITH {NATION_FLOW} SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, CAST(weight AS DOUBLE) AS weight FROM ne")
 def z7_parse_node_link(spark, sf_dir):
     text = text_formats.text(text_formats.to_node_link(derived.nation_flow(spark, sf_dir), weight="weight"))
