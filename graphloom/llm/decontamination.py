@@ -40,7 +40,7 @@ WIDTH = 64 // BLOCKS
 #: Items indexed at a time; each takes 32 KB of block tables in a worker.
 SLICE_ITEMS = 1500
 #: Indexes that a worker keeps.
-INDEXES = 2
+INDEXES = 1
 _BUILT: dict[str, "BenchmarkIndex"] = {}
 
 

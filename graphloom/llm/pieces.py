@@ -12,7 +12,7 @@ UNIGRAM, BPE = "unigram", "bpe"
 #: The tokenizer library's fixed penalty of an unknown character below the lowest score.
 UNKNOWN_PENALTY = 10.0
 #: Remembered pairs of pieces.
-PAIRS = 1_000_000
+PAIRS = 300_000
 #: The score of what is no piece.
 NEVER = float("-inf")
 

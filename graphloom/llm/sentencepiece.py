@@ -24,9 +24,9 @@ from .forward import Forward
 from .pieces import MARK, UNIGRAM, PieceModel, load
 
 #: Words whose ids a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 80_000
 #: Text bytes whose words are sorted together: the more, the longer the prefixes they share.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 #: Stands between words; no UTF-8 has this byte.
 BORDER = b"\xff"
 #: Begins a word that has no mark.
