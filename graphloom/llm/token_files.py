@@ -40,7 +40,7 @@ TOGETHER = 512
 #: Pieces in one generation of what a worker remembers.
 REMEMBERED = 400_000
 #: Text bytes whose pieces are numbered together.
-TOGETHER = 4 << 20
+TEXT_BYTES = 4 << 20
 #: Cuts given to the library as one text, whose tokens it describes at some length.
 LINES = 10_000
 
@@ -335,7 +335,7 @@ def write(
 
         def fill(out) -> None:
             writer, tokens = Writer(out), tokens_of(path)
-            for part, column in column_slices(batches, 1, TOGETHER):
+            for part, column in column_slices(batches, 1, TEXT_BYTES):
                 ids, ends = tokens.encode(column)
                 lengths = np.diff(ends) + len(ending)
                 ids = np.insert(ids, np.repeat(ends[1:], len(ending)), np.tile(ending, len(lengths)))
