@@ -32,7 +32,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_ids, ids_crc32, viterbi_n, viterbi_crc32, round_trip): each kept document encoded and decoded."""
+    """(doc_id, ids, n_ids, ids_crc32, viterbi_n, viterbi_crc32, round_trip): each kept document encoded and decoded."""
     return sentencepiece.digests(docs)
 
 
