@@ -223,11 +223,19 @@ class AllPairs:
         return ShortestPathResult(s, t, True, SingleSourcePaths(self.graph, s, hops).to(t).path, row["distance"])
 
 
+def _joined(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(s, t, d): the paths of ``a`` followed by those of ``b``."""
+    left = a.select("s", F.col("t").alias("m"), F.col("d").alias("d1"))
+    right = b.select(F.col("s").alias("m"), "t", F.col("d").alias("d2"))
+    return left.join(right, "m").select("s", "t", (F.col("d1") + F.col("d2")).alias("d"))
+
+
 class FloydWarshall:
     """All pairs with any weights; a negative cycle anywhere is an error.
 
-    Distances over paths of twice the length come from joining the table with itself, so the
-    rounds grow with the logarithm of the longest shortest path.
+    Distances over paths of twice the length come from joining two tables of pairs, of which
+    one holds what got shorter in the last round, so the rounds grow with the logarithm of the
+    longest shortest path and a round costs what is new.
     """
 
     def __init__(self, weight: str):
@@ -239,18 +247,17 @@ class FloydWarshall:
         itself = g.vertices.select(F.col("id").alias("s"), F.col("id").alias("t"), F.lit(0).cast(kind).alias("d"))
         first = arcs.select(F.col("src").alias("s"), F.col("dst").alias("t"), F.col("w").alias("d"))
         table = cut(first.unionByName(itself).groupBy("s", "t").agg(F.min("d").alias("d")))
-        before = None
-        for _ in range(64):
+        fresh = table
+        while not fresh.isEmpty():
             check(should_stop)
-            if not table.where("s = t and d < 0").isEmpty():
+            if not fresh.where("s = t and d < 0").isEmpty():
                 raise NegativeCycleError("the graph has a negative cycle")
-            now = tuple(table.agg(F.count(F.lit(1)), F.sum(F.col("d").cast("decimal(38,6)"))).first())
-            if now == before:
-                break
-            before = now
-            a = table.select("s", F.col("t").alias("m"), F.col("d").alias("d1"))
-            b = table.select(F.col("s").alias("m"), "t", F.col("d").alias("d2"))
-            table = cut(a.join(b, "m").groupBy("s", "t").agg(F.min(F.col("d1") + F.col("d2")).cast(kind).alias("d")))
+            # a pair gets shorter only by a half that did in the last round
+            longer = _joined(fresh, table) if fresh is table else _joined(fresh, table).unionByName(_joined(table, fresh))
+            both = longer.select("s", "t", "d", F.lit(None).cast(kind).alias("old")).unionByName(table.select("s", "t", "d", F.col("d").alias("old")))
+            marked = cut(both.groupBy("s", "t").agg(F.min("d").cast(kind).alias("d"), F.min("old").alias("old")))
+            fresh = marked.where("old is null or d < old").drop("old")
+            table = marked.drop("old")
         rows = table.select(F.col("s").alias("source"), F.col("t").alias("target"), F.col("d").alias("distance"))
         return AllPairs(g, rows, arcs)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,13 @@ from ..errors import GraphCycleError
 from ..graph import PropertyGraph
 from ..plans.components import star_components
 from ..plans.lineage import cut
+from ..plans.skew import join_counted
 from ..plans.supersteps import check, ranked, reach
 from . import kernels
 
+#: Levels whose rows are stored together.
+LEVELS_TOGETHER = 32
+
 
 def bfs(g: PropertyGraph, start, should_stop=None) -> DataFrame:
     """(id, level, pos): breadth-first order from ``start``, neighbours in edge order.
@@ -93,36 +99,39 @@ def topological_order(g: PropertyGraph, should_stop=None) -> DataFrame:
     """(id, level, pos): Kahn's order with a queue, ties by insertion.
 
     Level by level: level 0 by vertex order; a later vertex by the last of its predecessors'
-    positions, then that edge's order.  A cycle raises ``GraphCycleError`` with its vertices.
+    positions, then that edge's order.  Each arc carries the number of its target's arcs, so a
+    level touches only its arcs and the vertices that some but not all predecessors have met.  A cycle raises ``GraphCycleError`` with its vertices.
     """
     g._directed()
-    arcs = cut(g.edges.select("src", "dst", F.col("ord").alias("arc")))
-    waiting = arcs.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("missing"))
-    waiting = cut(waiting)
-    frontier = g.vertices.join(waiting.select("id"), "id", "left_anti")
+    edges = cut(g.edges.select("src", "dst", F.col("ord").alias("arc")))
+    needs = cut(edges.groupBy("dst").agg(F.count(F.lit(1)).alias("need")))
+    arcs = cut(join_counted(edges, needs.withColumn("rows", F.col("need")), "dst", "rows"))
+    frontier = g.vertices.join(needs.select(F.col("dst").alias("id")), "id", "left_anti")
     frontier = cut(ranked(frontier.select("id", "ord"), F.col("ord")).select("id", F.lit(0).alias("level"), "pos"))
     count, level = frontier.count(), 0
-    done = frontier
-    none = F.lit(None).cast("struct<pos:bigint,arc:bigint>")
-    waiting = waiting.withColumn("key", none)
+    done, recent, met = None, [frontier], None
     while True:
         check(should_stop)
         level += 1
-        met = frontier.join(arcs, frontier.id == arcs.src).groupBy(F.col("dst").alias("id"))
-        met = met.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("pos", "arc")).alias("last"))
+        new = frontier.join(arcs, frontier.id == arcs.src)
+        new = new.select(F.col("dst").alias("id"), F.lit(1).cast("long").alias("n"), F.struct("pos", "arc").alias("last"), "need")
         # positions grow by level, so what was met last is the latest
-        updated = waiting.join(met, "id", "left").select(
-            "id", (F.col("missing") - F.coalesce("n", F.lit(0))).alias("missing"), F.coalesce("last", "key").alias("key")
-        )
-        waiting = cut(updated)
-        ready = waiting.where("missing = 0")
-        frontier = cut(ranked(ready, F.col("key"), name="rank").select("id", F.lit(level).alias("level"), (F.col("rank") + count).alias("pos")))
+        open_ = (new if met is None else met.unionByName(new)).groupBy("id")
+        open_ = cut(open_.agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.first("need").alias("need")))
+        ready, met = open_.where("n = need"), open_.where("n < need")
+        frontier = cut(ranked(ready, F.col("last"), name="rank").select("id", F.lit(level).alias("level"), (F.col("rank") + count).alias("pos")))
         found = frontier.count()
         if not found:
             break
-        waiting = waiting.where("missing > 0")
         count += found
-        done = cut(done.unionByName(frontier))
-    if not waiting.where("missing > 0").isEmpty():
+        recent.append(frontier)
+        if len(recent) == LEVELS_TOGETHER:
+            done, recent = cut(union(done, recent)), []
+    if count < g.vertex_count():
         raise GraphCycleError(find_cycle(g, should_stop))
-    return done
+    return union(done, recent)
+
+
+def union(done: DataFrame | None, recent: list[DataFrame]) -> DataFrame:
+    """All rows of the levels."""
+    return reduce(DataFrame.unionByName, recent if done is None else [done, *recent])

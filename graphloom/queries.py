@@ -869,7 +869,9 @@ def h5_hyper_components(spark, sf_dir, least=48):
     return Hypergraph.from_dataframe(line.join(shared, "hid")).connected_components()
 
 
-@query(f"WITH {ORDER_PARTS}, k AS (SELECT min(v) AS a, max(v) AS b FROM hp) SELECT count(*) > 0 AS connected FROM hp, k WHERE v = a")
+@query(f"""WITH RECURSIVE {ORDER_PARTS}, k AS (SELECT min(v) AS a, max(v) AS b FROM hp),
+    r AS (SELECT a AS v FROM k UNION SELECT y.v FROM r JOIN hp x ON x.v = r.v JOIN hp y ON y.hid = x.hid)
+    SELECT EXISTS (SELECT 1 FROM r, k WHERE r.v = k.b) AS connected""")
 def h4_are_connected(spark, sf_dir):
     g = derived.copurchase(spark, sf_dir)
     ends = g.vertices.agg(F.min("id"), F.max("id")).first()
@@ -959,10 +961,13 @@ def z5_parse_graphml_document(spark, sf_dir):
     return doc.vertex_data.select("id", doc.attribute("name").alias("name"), doc.attribute("region", "int").alias("region"))
 
 
-@query(f"WITH {NATION_FLOW} SELECT count(*) AS edges, CAST(sum(weight) AS BIGINT) AS weight, (SELECT count(*) FROM nv) AS nodes, true AS directed FROM ne")
+@query(f"WITH {NATION_FLOW} SELECT CAST(src AS VARCHAR) AS source, CAST(dst AS VARCHAR) AS target, CAST(weight AS DOUBLE) AS weight, (SELECT count(*) FROM nv) AS nodes FROM ne")
 def z6_node_link(spark, sf_dir):
+    """What a plain JSON reader finds in the document."""
     doc = json.loads(text_formats.text(text_formats.to_node_link(derived.nation_flow(spark, sf_dir), weight="weight")))
-    return row(spark, edges=len(doc["edges"]), weight=sum(e["weight"] for e in doc["edges"]), nodes=len(doc["nodes"]), directed=doc["directed"])
+    ids = {str(n["id"]) for n in doc["nodes"]}
+    rows = [(str(e["source"]), str(e["target"]), float(e["weight"]), len(ids)) for e in doc["edges"]]
+    return spark.createDataFrame(rows, "source string, target string, weight double, nodes long")
 
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS id, CAST(2 * n_regionkey AS BIGINT) AS twice, length(n_name) AS letters FROM nation")

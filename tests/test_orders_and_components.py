@@ -34,6 +34,23 @@ def test_topological_order(spark):
     assert sorted(e.value.cycle) == ["b", "c"]
 
 
+@pytest.mark.parametrize("together", [32, 2])
+def test_topological_order_over_many_levels(spark, monkeypatch, together):
+    """Against Kahn's order with a queue."""
+    monkeypatch.setattr(traversal, "LEVELS_TOGETHER", together)
+    rng = random.Random(5)
+    edges = [(a, b) for a, b in (sorted(rng.sample(range(12), 2)) for _ in range(16))]
+    g = graph(spark, edges, range(12), True, True)
+    missing, queue = {v: sum(b == v for _, b in edges) for v in range(12)}, []
+    queue += [v for v in range(12) if not missing[v]]
+    for v in queue:
+        for a, b in edges:
+            if a == v:
+                missing[b] -= 1
+                queue += [] if missing[b] else [b]
+    assert in_order(traversal.topological_order(g)) == queue
+
+
 def test_cycles(spark):
     assert not traversal.has_cycle(graph(spark, pairs("a-b b-c")))
     assert traversal.has_cycle(graph(spark, pairs("a-b a-b"), multi=True))

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Every nation trades with every other only from this size on.
 DENSE = {"x6_maximum_flow": "/root/testdata/sf0.01", "p1_strategies": "/root/testdata/sf0.01"}
-CHECKED = ["c4_contains_edges", "c6_degrees", "o3_complement", "n1_connected_components", "s9_clustering", "x1_kruskal", "x2_prim", "x3_spanning_forest", "x8_flow_guards", "x11_euler_path", "p5_a_star", "p9_result", "k6_parallel_betweenness", "s3_is_bipartite", "z9_typed_attributes", "h6_clique_expansion", "z1_dot"]
+CHECKED = ["c4_contains_edges", "c6_degrees", "o3_complement", "n1_connected_components", "s9_clustering", "x1_kruskal", "x2_prim", "x3_spanning_forest", "x8_flow_guards", "x11_euler_path", "p5_a_star", "p9_result", "k6_parallel_betweenness", "s3_is_bipartite", "z9_typed_attributes", "h4_are_connected", "h6_clique_expansion", "p6_floyd_warshall", "t6_topological_order", "z1_dot", "z6_node_link"]
 
 
 def norm(rows):
