@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -39,6 +39,8 @@ BLOCKS = 4
 WIDTH = 64 // BLOCKS
 #: Items indexed at a time; each takes 32 KB of block tables in a worker.
 SLICE_ITEMS = 1500
+#: Words and shingles of a sieve, at most: about 150 MB in a worker.
+SIEVE_ENTRIES = 2_000_000
 #: Indexes that a worker keeps.
 INDEXES = 1
 _BUILT: dict[str, "BenchmarkIndex"] = {}
@@ -105,63 +107,55 @@ class SizeIndex:
         return window[close], item[close]
 
 
-class BenchmarkIndex:
-    """What a worker knows of the benchmark: its words, shingles and fingerprints by size."""
+class Sieve:
+    """The benchmark's words, sizes and shingles, which tell the windows that may hold an item."""
 
-    def __init__(self, items: list[tuple[int, str]], shingle: int, threshold: float, radius: int):
+    def __init__(self, texts: Iterable[str], shingle: int, threshold: float):
         self.shingle, self.threshold = shingle, threshold
         self.vocabulary: dict[str, int] = {}
-        self.words = {i: w for i, text in items if (w := words_of(text))}
-        for w in self.words.values():
-            for x in w:
-                self.vocabulary.setdefault(x, len(self.vocabulary) + 1)
-        by_size: dict[int, list[int]] = {}
-        fps, every = {}, []
-        for i, w in self.words.items():
-            hashes = shingle_hashes(self.ids(w), shingle)
-            every.append(hashes)
-            fps[i] = pack(2 * bits_of(hashes).sum(axis=0, dtype=np.int64) > len(hashes))[0]
-            by_size.setdefault(len(w), []).append(i)
-        self.shingles = np.unique(np.concatenate(every)) if every else np.empty(0, np.uint64)
-        self.sizes = {n: SizeIndex(i, np.array([fps[k] for k in i], np.uint64), radius) for n, i in sorted(by_size.items())}
-        self.counts = {i: self.multiset(w) for i, w in self.words.items()}
+        self.sizes: set[int] = set()
+        self.shingles = np.empty(0, np.uint64)
+        self.add(texts)
+
+    def add(self, texts: Iterable[str]) -> None:
+        every = [self.shingles]
+        for words in map(words_of, texts):
+            if words:
+                for x in words:
+                    self.vocabulary.setdefault(x, len(self.vocabulary) + 1)
+                self.sizes.add(len(words))
+                every.append(shingle_hashes(self.ids(words), self.shingle))
+        self.shingles = np.unique(np.concatenate(every))
+
+    def __len__(self) -> int:
+        return len(self.vocabulary) + len(self.shingles)
 
     def ids(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.vocabulary.get, words, repeat(0)), dtype=np.int64, count=len(words))
 
-    def multiset(self, words: list[str]) -> Counter:
-        k = min(self.shingle, len(words))
-        return Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
-
-    def matches(self, text: str | None) -> dict[int, tuple[float, int]]:
-        """item -> (best similarity, first word of the first window that has it)."""
-        words = words_of(text)
-        found: dict[int, tuple[float, int]] = {}
+    def windows(self, words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+        """(item size, starts of the windows that a threshold may admit, shingle hashes, shingles of a window)."""
         if not words or not self.sizes:
-            return found
+            return
         ids = self.ids(words)
         by_width: dict[int, tuple] = {}
-        for size, index in self.sizes.items():
+        for size in sorted(self.sizes):
             # sizes below a shingle have their own, whole-window shingles
             width = min(self.shingle, size, len(words))
             if width not in by_width:
                 by_width[width] = self._prepared(ids, width)
-            hits, ones = by_width[width]
-            if ones is None:
+            hits, hashes = by_width[width]
+            if hashes is None:
                 continue
             m = min(size, len(words)) - width + 1
             inside = hits[m:] - hits[:-m]
             starts = np.flatnonzero(inside >= max(1, np.ceil(2 * self.threshold * m / (1 + self.threshold) - 1e-9) if len(words) >= size else 1))
-            if not len(starts):
-                continue
-            sums = self._sums(ones, starts, m)
-            window, item = index.lookup(pack(2 * sums > m))
-            for w, k in zip(starts[window].tolist(), item.tolist()):
-                i = index.items[k]
-                score = similarity(self.multiset(words[w : w + size]), self.counts[i])
-                if score >= self.threshold and score > found.get(i, (0.0, 0))[0]:
-                    found[i] = (score, w)
-        return found
+            if len(starts):
+                yield size, starts, hashes, m
+
+    def admits(self, text: str | None) -> bool:
+        """Whether some window of the text may hold an item."""
+        return any(True for _ in self.windows(words_of(text)))
 
     def _prepared(self, ids: np.ndarray, width: int) -> tuple:
         """Running count of benchmark shingles, and all hashes if there is one."""
@@ -174,6 +168,40 @@ class BenchmarkIndex:
             known[at] = self.shingles[np.minimum(np.searchsorted(self.shingles, hashes[at]), len(self.shingles) - 1)] == hashes[at]
         return np.concatenate(([0], np.cumsum(known))), (hashes if known.any() else None)
 
+
+class BenchmarkIndex(Sieve):
+    """What a worker knows of the benchmark: its words, shingles and fingerprints by size."""
+
+    def __init__(self, items: list[tuple[int, str]], shingle: int, threshold: float, radius: int):
+        super().__init__([text for _, text in items], shingle, threshold)
+        by_size: dict[int, list[int]] = {}
+        fps, self.counts = {}, {}
+        for i, text in items:
+            if words := words_of(text):
+                hashes = shingle_hashes(self.ids(words), shingle)
+                fps[i] = pack(2 * bits_of(hashes).sum(axis=0, dtype=np.int64) > len(hashes))[0]
+                by_size.setdefault(len(words), []).append(i)
+                self.counts[i] = self.multiset(words)
+        self.by_size = {n: SizeIndex(i, np.array([fps[k] for k in i], np.uint64), radius) for n, i in by_size.items()}
+
+    def multiset(self, words: list[str]) -> Counter:
+        k = min(self.shingle, len(words))
+        return Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+
+    def matches(self, text: str | None) -> dict[int, tuple[float, int]]:
+        """item -> (best similarity, first word of the first window that has it)."""
+        words = words_of(text)
+        found: dict[int, tuple[float, int]] = {}
+        for size, starts, hashes, m in self.windows(words):
+            index = self.by_size[size]
+            window, item = index.lookup(pack(2 * self._sums(hashes, starts, m) > m))
+            for w, k in zip(starts[window].tolist(), item.tolist()):
+                i = index.items[k]
+                score = similarity(self.multiset(words[w : w + size]), self.counts[i])
+                if score >= self.threshold and score > found.get(i, (0.0, 0))[0]:
+                    found[i] = (score, w)
+        return found
+
     @staticmethod
     def _sums(hashes: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
         """For each start, how many of its m hashes have each bit."""
@@ -218,6 +246,29 @@ def _index_of(key: str, texts: tuple[str, ...], shingle: int, threshold: float,
     return _BUILT[key]
 
 
+def _sieve_of(parts: list[list[tuple[int | None, str]]], shingle: int, threshold: float) -> Sieve | None:
+    """A sieve of several slices, or None if one index does or the sieve would pass its bound."""
+    sieve = Sieve([], shingle, threshold)
+    for items in parts if len(parts) > 1 else []:
+        sieve.add(t for _, t in items)
+        if len(sieve) > SIEVE_ENTRIES:
+            return None
+    return sieve if len(parts) > 1 else None
+
+
+def _sifted(docs: DataFrame, column: int, sieve: Sieve, admitted: bool) -> DataFrame:
+    """The rows whose text the sieve admits, or the others."""
+    sent = docs.sparkSession.sparkContext.broadcast(sieve)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches, column):
+            found = part.filter(pa.array([sent.value.admits(t) == admitted for t in texts]))
+            if found.num_rows:
+                yield found
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def best_by_id(matches: dict[int, tuple[float, int]], items: list[tuple[int | None, str]]) -> list[tuple[int | None, float, int]]:
     """(item id, similarity, first word), the best for each id: the most similar, of equal ones the first."""
     best: dict[int | None, tuple[float, int]] = {}
@@ -242,8 +293,10 @@ def contaminated(
     """(id, item, similarity, first_word): the items found in each document, with the best window.
 
     Only documents that hold an item have rows.  The benchmark goes to the workers in slices
-    of ``SLICE_ITEMS`` items, one pass over the documents for each, so what is sent has a
-    bound whatever its size.  Null and empty texts and items without words match nothing.
+    of ``SLICE_ITEMS`` items, so what is sent has a bound whatever its size.  If there are
+    several, one pass over the documents stores those with a window that shares enough
+    shingles with all items together, and each slice's pass reads these only; a benchmark of
+    more than ``SIEVE_ENTRIES`` words and shingles has a pass over all documents for each slice.  Null and empty texts and items without words match nothing.
     Every text of the benchmark counts: texts that share an id give one row, the best, and
     so do all whose id is null, with a null item.  Repeated documents are repeated; a null
     id stays.  Other columns are not looked at.
@@ -253,7 +306,8 @@ def contaminated(
     shared = any(a[-1][0] == b[0][0] for a, b in zip(parts, parts[1:]))
     number = F.monotonically_increasing_id() if shared else F.lit(0).cast("long")
     source = docs.select(number.alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    source = cut(source) if shared else source
+    sieve = _sieve_of(parts, shingle, threshold)
+    source = cut(_sifted(source, 2, sieve, True)) if sieve is not None else cut(source) if shared else source
     schema = "rid long, id long, item long, similarity double, first_word long"
     found = None
     for items in parts:
@@ -291,21 +345,30 @@ def remove_contaminated(
     threshold: float = THRESHOLD,
     radius: int = RADIUS,
 ) -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark item, in one narrow pass per slice of items.
+    """``docs`` without the rows whose text holds a benchmark item.
 
-    All columns stay as they are, whatever their names, and rows with null or empty texts stay.
-    Every text of the benchmark counts, whatever its id.
+    A benchmark of up to ``SLICE_ITEMS`` items takes one narrow pass.  A larger one is sifted
+    as in ``contaminated``: the rows that no slice can match stay where they are, and the few
+    others go through one slice after another.  All columns stay as they are, whatever their
+    names, and rows with null or empty texts stay.  Every text of the benchmark counts,
+    whatever its id.
     """
-    kept, column = docs, position_of(docs, text_col)
-    for items in _parts(benchmark, item_col, item_text_col, SLICE_ITEMS):
+    column, clean = position_of(docs, text_col), None
+    parts = list(_parts(benchmark, item_col, item_text_col, SLICE_ITEMS))
+    sieve, kept = _sieve_of(parts, shingle, threshold), docs
+    if sieve is not None:
+        clean, kept = _sifted(docs, column, sieve, False), cut(_sifted(docs, column, sieve, True))
+    for k, items in enumerate(parts):
         build = _indexed(items, shingle, threshold, radius)
 
         def run(batches: Iterator[pa.RecordBatch], build=build) -> Iterator[pa.RecordBatch]:
             index = build()
             for part, texts in text_slices(batches, column):
-                clean = part.filter(pa.array([not index.matches(t) for t in texts]))
-                if clean.num_rows:
-                    yield clean
+                found = part.filter(pa.array([not index.matches(t) for t in texts]))
+                if found.num_rows:
+                    yield found
 
+        # stored after each slice, so a task has one worker and one index
         kept = kept.mapInArrow(run, docs.schema)
-    return kept
+        kept = kept if k == len(parts) - 1 else cut(kept)
+    return kept if clean is None else clean.union(kept)

@@ -62,10 +62,11 @@ def test_index_finds_all_within_its_radius():
     assert set(zip(window.tolist(), item.tolist())) == expected
 
 
-@pytest.mark.parametrize("size", [1500, 3])
-def test_frames(spark, odd_docs, no_docs, monkeypatch, size):
-    """In slices of the benchmark too."""
+@pytest.mark.parametrize("size, entries", [(1500, 1 << 20), (3, 1 << 20), (3, 10)])
+def test_frames(spark, odd_docs, no_docs, monkeypatch, size, entries):
+    """In slices of the benchmark too, sifted or not."""
     monkeypatch.setattr(dec, "SLICE_ITEMS", size)
+    monkeypatch.setattr(dec, "SIEVE_ENTRIES", entries)
     benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(cases(), 100)), "doc_id long, text string"))
     rows = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in dec.contaminated(docs, benchmark).collect()}
@@ -79,6 +80,27 @@ def test_frames(spark, odd_docs, no_docs, monkeypatch, size):
     assert dec.remove_contaminated(odd_docs, benchmark.limit(0)).count() == odd_docs.count()
 
 
+def test_a_sieve_admits_all_that_a_slice_matches():
+    items = [(i, t) for i, t in ITEMS if t]
+    sieve = dec.Sieve([t for _, t in items], 5, 0.8)
+    slices = [dec.BenchmarkIndex(items[k : k + 2], 5, 0.8, dec.RADIUS) for k in range(0, len(items), 2)]
+    for t in cases():
+        assert sieve.admits(t) or not any(x.matches(t) for x in slices)
+    assert not any(sieve.admits(t) for t in ["", None, prose(7, 300)])
+
+
+def test_many_slices_read_the_documents_once(spark, tmp_path, monkeypatch):
+    """Five slices: the documents are scanned by the sieve alone."""
+    monkeypatch.setattr(dec, "SLICE_ITEMS", 2)
+    texts = [prose(4000 + k, 30) for k in range(10)]
+    benchmark = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(k, t) for k, t in enumerate(texts[:3])] + [(k, prose(5000 + k, 50)) for k in range(10, 60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    found = dec.contaminated(spark.read.parquet(str(tmp_path / "docs")), benchmark)
+    assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
 @pytest.mark.parametrize("size", [1500, 2])
 def test_every_text_of_the_benchmark_counts(spark, monkeypatch, size):
     """Texts that share an id, and texts without one, in one slice and over several."""
