@@ -16,8 +16,10 @@ import pyarrow.compute as pc
 def numbered(column: pa.Array, separator: str = " ") -> tuple[list[str], np.ndarray, np.ndarray]:
     """(distinct words, number of each row's words in that list, words up to each row's end, from 0 on)."""
     split = pc.split_pattern(column, separator)
-    words = split.flatten().dictionary_encode()
     ends = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)))
+    words = split.flatten().dictionary_encode()
+    del split
+    pa.default_memory_pool().release_unused()
     return words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy(zero_copy_only=False), ends
 
 
@@ -28,7 +30,11 @@ def laid_out(parts: list[bytes], index: np.ndarray, ends: np.ndarray, kind: str)
     shift = np.cumsum(lengths) - lengths
     own = lengths[index]
     stops = np.cumsum(own)
-    at = np.repeat(shift[index] - stops + own, own) + np.arange(stops[-1] if len(stops) else 0)
+    total = int(stops[-1]) if len(stops) else 0
+    # positions are the largest of these arrays, so they are no wider than they need be
+    size = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((shift[index] - stops + own).astype(size), own)
+    at += np.arange(total, dtype=size)
     return flat[at], np.concatenate(([0], stops))[ends]
 
 

@@ -38,11 +38,11 @@ PERCENTILE = 0.9
 #: Blocks that are packed or unpacked together.
 TOGETHER = 512
 #: Pieces in one generation of what a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Text bytes whose pieces are numbered together.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 3 << 20
 #: Cuts given to the library as one text, whose tokens it describes at some length.
-LINES = 10_000
+LINES = 300
 
 
 # -- blocks -----------------------------------------------------------------------------------
