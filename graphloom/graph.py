@@ -117,11 +117,9 @@ class PropertyGraph:
 
     def skeleton(self) -> DataFrame:
         """(a, b): the distinct unordered pairs of different neighbours, a < b."""
-        return (
-            self.edges.where("src <> dst")
-            .select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
-            .distinct()
-        )
+        pairs = self.edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+        # an undirected simple graph has each pair once
+        return pairs.distinct() if self.directed or self.multi else pairs
 
     def scan_vertices(self) -> DataFrame:
         return self.vertices.orderBy("ord")

@@ -7,12 +7,18 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import blocks
 from ..graph import PropertyGraph, first_by_key
 from ..plans.components import star_components
 from ..plans.lineage import cut
 from ..plans.supersteps import check
 from . import connectivity, kernels
 
+#: Edges from which triangles are found in stored blocks, in place of a join of edge pairs.
+BLOCKED = 1_000_000
+#: Neighbours up to which they are broadcast.
+NEAR = 100_000
+
 
 def density(g: PropertyGraph) -> float:
     """Edges over possible edges, 0 below two vertices; loops and parallels can take it over 1."""
@@ -104,8 +110,21 @@ def triangles(g: PropertyGraph) -> DataFrame:
     return wedge.join(e.withColumnsRenamed({"a": "x", "b": "y"}), ["x", "y"]).select(F.col("u").alias("a"), F.col("x").alias("b"), F.col("y").alias("c"))
 
 
+def _large(g: PropertyGraph) -> bool:
+    """Whether triangles are found in blocks; ids that are no integers are joined."""
+    return g.vertices.schema["id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") and g.edges.limit(BLOCKED + 1).count() > BLOCKED
+
+
 def _links(g: PropertyGraph) -> DataFrame:
     """(id, k, links): distinct neighbours of each vertex and edges among them, loops and directions aside."""
+    if _large(g):
+        e = g.skeleton()
+        k = cut(blocks.tally(e, ["a", "b"]))
+        found = blocks.Blocks(e, k)
+        t = cut(found.links())
+        found.remove()
+        rows = g.vertices.select("id").join(k, "id", "left").join(t, "id", "left")
+        return cut(rows.select("id", F.coalesce("n", F.lit(0)).alias("k"), F.coalesce("links", F.lit(0)).alias("links")))
     k = g.skeleton().select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("k"))
     t = triangles(g).select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     rows = g.vertices.select("id").join(k, "id", "left").join(t, "id", "left")
@@ -126,6 +145,8 @@ def local_clustering_coefficient(g: PropertyGraph, v: Any) -> float:
     k = near.count()
     if k < 2:
         return 0.0
+    if k <= NEAR:
+        near = F.broadcast(near)
     among = e.join(near.withColumnRenamed("n", "a"), "a", "left_semi").join(near.withColumnRenamed("n", "b"), "b", "left_semi")
     return among.count() / (k * (k - 1) / 2)
 

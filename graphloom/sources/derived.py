@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import tally
 from ..graph import PropertyGraph, in_order
 from ..hypergraph import Hypergraph
+from ..plans.lineage import cut, store
+
+#: Ids below which an edge's order is made of both its ends.
+PAIRED = 1 << 29
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,9 +83,19 @@ def copurchase_pairs(spark: SparkSession, sf_dir: str, least: int | None) -> Pro
     line = lines(spark, sf_dir, least).select("l_orderkey", "l_partkey")
     a, b = line.withColumnRenamed("l_partkey", "src"), line.withColumnRenamed("l_partkey", "dst")
     rows = a.join(b, "l_orderkey").where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
-    rows = in_order(rows, F.col("src"), F.col("dst"))
-    ids = rows.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("ord", F.col("id"))
-    return PropertyGraph.from_dataframes(rows, ids, False, False).freeze()
+    return _stored(rows, False)
+
+
+def _stored(rows: DataFrame, directed: bool) -> PropertyGraph:
+    """The graph of distinct pairs (src, dst, ...) of ids in order of (src, dst), stored; undirected pairs have src < dst."""
+    rows = store(rows.sortWithinPartitions("src", "dst"))
+    ids = cut(tally(rows, ["src", "dst"]).select(F.col("id").cast(rows.schema["src"].dataType).alias("id"), F.col("id").alias("ord")))
+    ends = ids.agg(F.min("id"), F.max("id")).first()
+    if ends[0] is None or (ends[0] >= 0 and ends[1] < PAIRED):
+        edges = rows.withColumn("ord", F.shiftleft("src", 31) + F.col("dst"))
+    else:
+        edges = cut(in_order(rows, F.col("src"), F.col("dst")))
+    return PropertyGraph(ids, edges.withColumn("eid", F.col("ord")), directed, False)
 
 
 def copurchase_sql(least: int) -> str:
