@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import forests
 from ..graph import PropertyGraph
 from ..plans.components import star_components
 from ..plans.lineage import cut
 from ..plans.supersteps import check
-from . import kernels
 
 
 def component_ords(g: PropertyGraph, should_stop=None) -> DataFrame:
@@ -143,10 +143,17 @@ def condense(g: PropertyGraph, should_stop=None) -> tuple[DataFrame, DataFrame]:
 def _low_links(g: PropertyGraph, should_stop=None) -> DataFrame:
     if g.directed:
         raise ValueError("bridges and articulation points are those of an undirected graph")
-    kind = g.vertices.schema["id"].dataType.simpleString()
-    labels = component_ords(g, should_stop).select(F.col("id").alias("src"), "label")
-    arcs = g.arcs().where("src <> dst").select("src", "dst", "eid", "ord").join(labels, "src")
-    return cut(kernels.by_component(arcs, ["label"], kernels.low_links, f"eid long, id {kind}"))
+    check(should_stop)
+    kind = g.vertices.schema["id"].dataType
+    integral = kind.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    e = g.edges.where("src <> dst")
+    if integral:
+        found = forests.low_links(e.select(F.col("src").alias("a"), F.col("dst").alias("b"), "eid"))
+        return cut(found.select("eid", F.col("id").cast(kind).alias("id")))
+    ends = g.with_edges(e).edges_with_ords()
+    found = cut(forests.low_links(ends.select(F.col("src_ord").alias("a"), F.col("dst_ord").alias("b"), "eid")))
+    names = g.vertices.select(F.col("ord").alias("o"), F.col("id").alias("name"))
+    return found.join(names, found.id == names.o, "left").select("eid", F.col("name").alias("id"))
 
 
 def find_bridges(g: PropertyGraph, should_stop=None) -> DataFrame:

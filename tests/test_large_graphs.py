@@ -3,10 +3,10 @@
 from itertools import combinations
 
 import pytest
-from helpers import graph, random_edges
+from helpers import column, graph, random_edges, table
 
 from graphloom.functions import blocks
-from graphloom.operators import structure
+from graphloom.operators import connectivity, kernels, structure
 
 
 def simple(seed, n, m):
@@ -38,3 +38,23 @@ def test_global_clustering_without_edge_pairs(spark, in_blocks):
     expected = sum(l for l, _ in found.values()) / sum(p for _, p in found.values())
     assert structure.global_clustering_coefficient(graph(spark, edges)) == pytest.approx(expected)
     assert structure.global_clustering_coefficient(graph(spark, [(1, 2)])) == 0
+
+
+def removed(vertices, edges):
+    """Components of the vertices by the edges."""
+    label = {v: v for v in vertices}
+    for _ in vertices:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    return len(set(label.values()))
+
+
+@pytest.mark.parametrize("kind", [int, str])
+def test_bridges_beyond_a_kernel(spark, monkeypatch, kind):
+    monkeypatch.setattr(kernels, "by_component", lambda *a, **k: pytest.fail("all edges go to a kernel"))
+    edges = [e for e in random_edges(12, 24, 30, False) if e[0] != e[1]] + [(30, 31), (30, 31), (31, 32)]
+    vertices = sorted({v for e in edges for v in e})
+    whole = removed(vertices, edges)
+    expected = [k for k in range(len(edges)) if removed(vertices, edges[:k] + edges[k + 1 :]) > whole]
+    g = graph(spark, [(kind(a), kind(b)) for a, b in edges], multi=True)
+    assert sorted(column(connectivity.find_bridges(g), "eid")) == expected and expected
