@@ -6,7 +6,7 @@ import pytest
 from helpers import column, graph, random_edges, table
 
 from graphloom.functions import blocks
-from graphloom.operators import connectivity, kernels, structure
+from graphloom.operators import connectivity, euler, kernels, structure, traversal
 
 
 def simple(seed, n, m):
@@ -58,3 +58,18 @@ def test_bridges_beyond_a_kernel(spark, monkeypatch, kind):
     expected = [k for k in range(len(edges)) if removed(vertices, edges[:k] + edges[k + 1 :]) > whole]
     g = graph(spark, [(kind(a), kind(b)) for a, b in edges], multi=True)
     assert sorted(column(connectivity.find_bridges(g), "eid")) == expected and expected
+
+
+@pytest.mark.parametrize("kind", [int, str])
+def test_articulation_points_beyond_a_kernel(spark, monkeypatch, kind):
+    monkeypatch.setattr(kernels, "by_component", lambda *a, **k: pytest.fail("all edges go to a kernel"))
+    edges = [e for e in random_edges(13, 24, 32, False) if e[0] != e[1]] + [(30, 31), (30, 31), (31, 32)]
+    vertices = sorted({v for e in edges for v in e})
+    whole = removed(vertices, edges)
+    expected = []
+    for v in vertices:
+        rest = [e for e in edges if v not in e]
+        if removed([x for x in vertices if x != v], rest) > whole:
+            expected.append(kind(v))
+    g = graph(spark, [(kind(a), kind(b)) for a, b in edges], multi=True)
+    assert sorted(column(connectivity.find_articulation_points(g))) == sorted(expected) and expected
