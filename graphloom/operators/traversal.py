@@ -11,7 +11,7 @@ from ..errors import GraphCycleError
 from ..graph import PropertyGraph
 from ..plans.components import star_components
 from ..plans.lineage import cut
-from ..plans.skew import join_counted
+from ..plans.skew import SENT_KEYS, join_counted
 from ..plans.supersteps import check, ranked, reach
 from . import kernels
 
@@ -61,18 +61,18 @@ def dfs(g: PropertyGraph, start, post_order: bool = False, should_stop=None) ->
 
 def _core(g: PropertyGraph, should_stop=None) -> DataFrame:
     """Directed arcs left when vertices without arcs in or out are taken away until none is."""
-    left = cut(g.edges.select("src", "dst", "eid", "ord"))
-    count = left.count()
-    while count:
+    left = g.edges.select("src", "dst", "eid", "ord")
+    while True:
         check(should_stop)
-        heads = left.select(F.col("dst").alias("src")).distinct()
-        tails = left.select(F.col("src").alias("dst")).distinct()
-        left = cut(left.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst", "eid", "ord"))
-        now = left.count()
-        if now == count:
-            break
-        count = now
-    return left
+        # arcs are written again only if there is something to take away
+        ends = left.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(1)).unionByName(left.select(F.col("dst").alias("id")).distinct().withColumn("out", F.lit(0)))
+        loose = cut(ends.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n < 2").select("id"))
+        count = loose.count()
+        if not count:
+            return left
+        loose = F.broadcast(loose) if count <= SENT_KEYS else loose
+        left = left.join(loose, left.src == loose.id, "left_anti")
+        left = cut(left.join(loose, left.dst == loose.id, "left_anti"))
 
 
 def has_cycle(g: PropertyGraph, should_stop=None) -> bool:
@@ -85,11 +85,40 @@ def has_cycle(g: PropertyGraph, should_stop=None) -> bool:
     return g.edge_count() > joined
 
 
+def _rings(arcs: DataFrame, should_stop=None) -> DataFrame:
+    """Arcs (src, dst, eid, ord), one from each vertex that has any in a core, that lie on cycles.
+
+    Every vertex of a core has an arc out, so the first ones alone lead into cycles.  Those that are
+    reached by 1, 2, 4 ... further steps are kept until all are, which holds on cycles only.
+    """
+    first = cut(arcs.groupBy("src").agg(F.min_by(F.struct("dst", "eid", "ord"), "ord").alias("r")).select("src", "r.*"))
+    jumps = first.select("src", "dst")
+    count = jumps.count()
+    while True:
+        check(should_stop)
+        image = jumps.select(F.col("dst").alias("src")).distinct()
+        jumps = cut(jumps.join(image, "src", "left_semi"))
+        now = jumps.count()
+        if now == count:
+            return first.join(jumps.select("src"), "src", "left_semi")
+        count = now
+        jumps = cut(jumps.join(jumps.select(F.col("src").alias("dst"), F.col("dst").alias("end")), "dst").select("src", F.col("end").alias("dst")))
+
+
 def find_cycle(g: PropertyGraph, should_stop=None) -> list | None:
-    """The vertices of some cycle, the last leading to the first, or None."""
+    """The vertices of some cycle, the last leading to the first, or None.
+
+    Of a directed graph one task gets only cycles without a vertex in common.  Of an undirected one it gets all arcs.
+    """
     kind = g.vertices.schema["id"].dataType.simpleString()
-    arcs = _core(g, should_stop) if g.directed else g.arcs().select("src", "dst", "eid", "ord")
     directed = g.directed
+    if directed:
+        core = _core(g, should_stop)
+        if core.isEmpty():
+            return None
+        arcs = _rings(core, should_stop)
+    else:
+        arcs = g.arcs().select("src", "dst", "eid", "ord")
     rows = kernels.single(arcs, lambda pdf: kernels.a_cycle(pdf, directed), f"id {kind}, pos long")
     found = [r["id"] for r in rows.orderBy("pos").collect()]
     return found or None

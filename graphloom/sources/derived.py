@@ -113,9 +113,8 @@ def part_seq(spark: SparkSession, sf_dir: str, least: int | None = 40) -> Proper
     """The next part inside an order, among lines of at least that quantity (None: any). Directed, with cycles."""
     line = lines(spark, sf_dir, least)
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    rows = line.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst is not null and src <> dst").distinct()
-    ids = rows.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("ord", F.col("id"))
-    return PropertyGraph.from_dataframes(in_order(rows, F.col("src"), F.col("dst")), ids, True, False).freeze()
+    rows = line.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("src is not null and dst is not null and src <> dst").distinct()
+    return _stored(rows, True)
 
 
 def part_seq_sql(least: int = 40) -> str:

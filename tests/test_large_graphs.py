@@ -73,3 +73,12 @@ def test_articulation_points_beyond_a_kernel(spark, monkeypatch, kind):
             expected.append(kind(v))
     g = graph(spark, [(kind(a), kind(b)) for a, b in edges], multi=True)
     assert sorted(column(connectivity.find_articulation_points(g))) == sorted(expected) and expected
+
+
+def test_cycle_of_more_arcs_than_a_kernel_takes(spark, monkeypatch):
+    inside = kernels.single
+    monkeypatch.setattr(kernels, "single", lambda df, kernel, schema: inside(df, kernel, schema, 12))
+    for edges in (random_edges(31, 40, 160, False), [(k, (k + 1) % 9) for k in range(9)] + [(k, 0) for k in range(9, 60)] + [(k, k - 1) for k in range(60, 99)]):
+        found = traversal.find_cycle(graph(spark, edges, [], True, True))
+        assert len(set(found)) == len(found) and set(zip(found, found[1:] + found[:1])) <= set(edges)
+    assert traversal.find_cycle(graph(spark, [(k, k + 1 + k % 2) for k in range(40)], [], True)) is None
