@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
 from ..plans.components import star_components
+from ..plans.lineage import store
 from . import kernels
 
+#: Edges from which a trail is made of trails over ``AT_ONCE`` edges each.
+PIECED, AT_ONCE = 1_000_000, 500_000
+
 
 def _odd(g: PropertyGraph) -> DataFrame:
     """(id, surplus) of vertices that are no mere passage: uneven degree, or more arcs out than in."""
@@ -42,7 +47,37 @@ def _trail(g: PropertyGraph, start) -> DataFrame:
     kind = g.vertices.schema["id"].dataType.simpleString()
     rows = g.edges.select("src", "dst", "eid", "ord")
     directed = g.directed
-    return kernels.single(rows, lambda pdf: kernels.trail(pdf, start, directed), f"pos long, eid long, from_id {kind}, to_id {kind}")
+    schema = f"pos long, eid long, from_id {kind}, to_id {kind}"
+    if g.edges.limit(PIECED + 1).count() <= PIECED:
+        return kernels.single(rows, lambda pdf: kernels.trail(pdf, start, directed), schema)
+    # trails that take all edges of a part, each one edge of a smaller graph from its first to its last vertex
+    at_once = AT_ONCE
+
+    def pieces(frames):
+        held, size = [], 0
+        for pdf in frames:
+            held.append(pdf)
+            size += len(pdf)
+            if size >= at_once:
+                yield kernels.trails(pd.concat(held), directed)
+                held, size = [], 0
+        if size:
+            yield kernels.trails(pd.concat(held), directed)
+
+    few = rows.coalesce(max(2, rows.sparkSession.sparkContext.defaultParallelism))
+    parts = store(few.mapInPandas(pieces, f"piece long, at long, eid long, from_id {kind}, to_id {kind}"))
+    small = parts.groupBy("piece").agg(F.min_by("from_id", "at").alias("src"), F.max_by("to_id", "at").alias("dst"), F.count(F.lit(1)).alias("size"))
+    small = small.withColumns({"eid": F.col("piece"), "ord": F.col("piece")}).drop("piece")
+
+    def placed(pdf: pd.DataFrame) -> pd.DataFrame:
+        order = kernels.trail(pdf, start, directed).merge(pdf[["eid", "size", "src"]], on="eid").sort_values("pos")
+        order["first"] = order["size"].cumsum() - order["size"]
+        return order.assign(piece=order.eid, back=order.from_id != order.src)[["piece", "first", "size", "back"]]
+
+    order = kernels.single(small, placed, "piece long, first long, size long, back boolean")
+    pos = F.col("first") + F.when(F.col("back"), F.col("size") - 1 - F.col("at")).otherwise(F.col("at"))
+    ends = [F.when(F.col("back"), F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("from_id", "to_id"), ("to_id", "from_id"))]
+    return parts.join(order, "piece").select(pos.alias("pos"), "eid", *ends)
 
 
 def _first_end(g: PropertyGraph):

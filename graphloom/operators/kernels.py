@@ -370,6 +370,60 @@ def trail(pdf: pd.DataFrame, start, directed: bool) -> pd.DataFrame:
     return frame([(k, *row) for k, row in enumerate(walked)], ["pos", "eid", "from_id", "to_id"])
 
 
+def trails(pdf: pd.DataFrame, directed: bool) -> pd.DataFrame:
+    """Trails that take every edge once, one a component or one for each two uneven ends; named by their first edge.
+
+    Edges that are added make all vertices even; the closed trails are cut where they take one.
+    """
+    src, dst, eid = (x.tolist() for x in (pdf.src, pdf.dst, pdf.eid))
+    surplus = defaultdict(int)
+    for s, t in zip(src, dst):
+        surplus[s] += 1
+        surplus[t] += -1 if directed else 1
+    if directed:
+        more = [v for v, x in surplus.items() for _ in range(x)]
+        less = [v for v, x in surplus.items() for _ in range(-x)]
+    else:
+        odd = [v for v, x in surplus.items() if x % 2]
+        more, less = odd[::2], odd[1::2]
+    real = len(src)
+    src, dst = src + less, dst + more
+    out = defaultdict(list)
+    for k in range(len(src) - 1, -1, -1):
+        out[src[k]].append(k)
+        if not directed and src[k] != dst[k]:
+            out[dst[k]].append(k)
+    used, rows = bytearray(len(src)), []
+    for root in list(out):
+        stack, walked = [(root, -1)], []
+        while stack:
+            v, came = stack[-1]
+            arcs = out[v]
+            while arcs and used[arcs[-1]]:
+                arcs.pop()
+            if arcs:
+                k = arcs.pop()
+                used[k] = 1
+                stack.append((dst[k] if src[k] == v else src[k], k))
+            else:
+                stack.pop()
+                if came >= 0:
+                    walked.append((came, stack[-1][0], v))
+        walked.reverse()
+        # a closed trail begins after an added edge, if it has one
+        added = next((i for i, (k, _, _) in enumerate(walked) if k >= real), -1)
+        piece, at = None, 0
+        for k, v, t in walked[added + 1 :] + walked[: added + 1]:
+            if k >= real:
+                piece = None
+                continue
+            if piece is None:
+                piece, at = eid[k], 0
+            rows.append((piece, at, eid[k], v, t))
+            at += 1
+    return frame(rows, ["piece", "at", "eid", "from_id", "to_id"])
+
+
 def goal_directed(pdf: pd.DataFrame, source, target, estimate: Callable) -> pd.DataFrame:
     """A* with vertices settled once: rows are arcs with a weight; (pos, id, distance) of the path."""
     out = defaultdict(list)

@@ -82,3 +82,19 @@ def test_cycle_of_more_arcs_than_a_kernel_takes(spark, monkeypatch):
         found = traversal.find_cycle(graph(spark, edges, [], True, True))
         assert len(set(found)) == len(found) and set(zip(found, found[1:] + found[:1])) <= set(edges)
     assert traversal.find_cycle(graph(spark, [(k, k + 1 + k % 2) for k in range(40)], [], True)) is None
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_trail_of_more_edges_than_a_kernel_takes(spark, monkeypatch, directed):
+    monkeypatch.setattr(euler, "PIECED", 10)
+    monkeypatch.setattr(euler, "AT_ONCE", 40)
+    inside = kernels.single
+    monkeypatch.setattr(kernels, "single", lambda df, kernel, schema: inside(df, kernel, schema, 150))
+    edges = random_edges(41, 7, 120, False)
+    edges = edges + [(b, a) for a, b in edges]
+    g = graph(spark, edges, [], directed, True)
+    rows = sorted(euler.find_eulerian_circuit(g).collect(), key=lambda r: r.pos)
+    assert [r.pos for r in rows] == list(range(240)) and {r.eid for r in rows} == set(range(240))
+    assert all(a.to_id == b.from_id for a, b in zip(rows, rows[1:] + rows[:1]))
+    for r in rows:
+        assert (r.from_id, r.to_id) == edges[r.eid] or (not directed and (r.to_id, r.from_id) == edges[r.eid])
