@@ -176,3 +176,72 @@ def _low_links(a: np.ndarray, b: np.ndarray, eid: np.ndarray) -> tuple[np.ndarra
         if children > 1:
             cut[root] = 1
     return eid[np.frombuffer(bridges, np.int32)] if bridges else eid[:0], ids[np.frombuffer(cut, np.uint8) > 0]
+
+
+def _covered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, ends, ends, positions of the edges that span the cover): every vertex twice, every edge between opposite copies."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    s, t, n = at[: len(a)].astype(np.int32), at[len(a) :].astype(np.int32), np.int32(len(ids))
+    del at
+    u, v = np.concatenate([s, s + n]), np.concatenate([t + n, t])
+    return ids, u, v, spanning(2 * len(ids), u, v)
+
+
+def parities(edges: DataFrame) -> DataFrame:
+    """(id, even, odd, left): the components of both copies of each end of edges (a, b) of integers, and whether the even one has the first vertex's even copy.
+
+    Parts of the edges are reduced to those that span their cover, which joins the same copies.
+    """
+
+    def reduced(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        a = b = np.empty(0, np.int64)
+        held, size = [], 0
+
+        def kept():
+            x, y = (np.concatenate([k, *z]) for k, z in zip((a, b), zip(*held)))
+            some = np.unique(_covered(x, y)[3] % len(x))
+            return x[some], y[some]
+
+        for batch in batches:
+            held.append([c.cast(pa.int64()).to_numpy(zero_copy_only=False) for c in batch.columns])
+            size += len(batch)
+            if size >= READ:
+                a, b = kept()
+                held, size = [], 0
+        return kept() if held else (a, b)
+
+    def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _slices(["a", "b"], [pa.array(x) for x in reduced(batches)])
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = reduced(batches)
+        if len(a):
+            ids, u, v, tree = _covered(a, b)
+            label = joined(2 * len(ids), u[tree], v[tree])
+            even, odd = label[: len(ids)], label[len(ids) :]
+            firsts = []
+            for own in (even, odd):
+                first = np.full(2 * len(ids), len(ids), np.int32)
+                first[own[::-1]] = np.arange(len(ids), dtype=np.int32)[::-1]
+                firsts.append(first)
+            yield from _slices(["id", "even", "odd", "left"], [pa.array(ids), pa.array(even), pa.array(odd), pa.array(firsts[0][even] < firsts[1][even])])
+
+    some = edges.select("a", "b").coalesce(max(2, edges.sparkSession.sparkContext.defaultParallelism))
+    return some.mapInArrow(part, "a long, b long").repartition(1).mapInArrow(whole, "id long, even int, odd int, left boolean")
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The components' labels of vertices 0 to n - 1, by a walk along the edges of a forest."""
+    starts, near, _ = rows_of(n, a, b)
+    starts, near, label = memoryview(starts), memoryview(near), array("i", [-1]) * n
+    for root in range(n):
+        if label[root] < 0:
+            label[root] = root
+            todo = [root]
+            while todo:
+                v = todo.pop()
+                for k in range(starts[v], starts[v + 1]):
+                    if label[near[k]] < 0:
+                        label[near[k]] = root
+                        todo.append(near[k])
+    return np.frombuffer(label, np.int32)

@@ -7,9 +7,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import blocks
+from ..functions import blocks, forests
 from ..graph import PropertyGraph, first_by_key
-from ..plans.components import star_components
 from ..plans.lineage import cut
 from ..plans.supersteps import check
 from . import connectivity, kernels
@@ -37,19 +36,15 @@ def find_bipartition(g: PropertyGraph, should_stop=None) -> DataFrame | None:
     Every vertex is taken twice, once for each parity, and every edge joins opposite parities.
     A vertex whose two copies meet in a component lies on an odd closed walk; else its even
     copy is in the component of the first vertex's even or odd copy, which gives its side.
+    Tasks reduce their edges to those that span the copies; one task joins these.
     """
-    e = g.edges_with_ords().select(F.col("src_ord").alias("s"), F.col("dst_ord").alias("t"))
-    # parities are kept in structs: ord doubled would overflow
-    node = lambda c, p: F.struct(F.col(c).alias("ord"), F.lit(p).alias("parity"))
-    cover = e.select(node("s", 0).alias("u"), node("t", 1).alias("v")).unionByName(e.select(node("s", 1).alias("u"), node("t", 0).alias("v")))
-    found = cut(star_components(cover, should_stop=lambda: check(should_stop)))
-    even = found.where("node.parity = 0").select(F.col("node.ord").alias("ord"), F.col("component").alias("even"))
-    odd = found.where("node.parity = 1").select(F.col("node.ord").alias("ord"), F.col("component").alias("odd"))
-    both = even.join(odd, "ord")
-    if not both.where("even = odd").isEmpty():
+    check(should_stop)
+    e = g.with_edges(g.edges.select("src", "dst")).edges_with_ords()
+    found = cut(forests.parities(e.select(F.col("src_ord").alias("a"), F.col("dst_ord").alias("b"))))
+    if not found.where("even = odd").isEmpty():
         return None
-    side = F.when(F.coalesce(F.col("even.parity"), F.lit(0)) == 0, "left").otherwise("right")
-    return g.vertices.select("id", "ord").join(even, "ord", "left").select("id", side.alias("side"))
+    side = F.when(F.coalesce("left", F.lit(True)), "left").otherwise("right")
+    return g.vertices.select("id", "ord").join(found.withColumnRenamed("id", "ord"), "ord", "left").select("id", side.alias("side"))
 
 
 def is_bipartite(g: PropertyGraph, should_stop=None) -> bool:

@@ -58,8 +58,12 @@ ee AS (
 
 def supp_part(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Suppliers and the parts they ship, ids tagged. Undirected and bipartite."""
-    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s:"), "l_suppkey").alias("src"), F.concat(F.lit("p:"), "l_partkey").alias("dst")).distinct()
-    return PropertyGraph.from_dataframes(in_order(rows, F.col("src"), F.col("dst")), None, False, False).freeze()
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    rows = rows.select(F.concat(F.lit("s:"), "l_suppkey").alias("src"), F.concat(F.lit("p:"), "l_partkey").alias("dst"))
+    edges = store(in_order(rows, F.col("src"), F.col("dst"))).withColumn("eid", F.col("ord"))
+    # pairs are distinct and run one way
+    g = PropertyGraph.from_dataframes(edges, None, False, True)
+    return PropertyGraph(cut(g.vertices), g.edges, False, False)
 
 
 SUPP_PART = """

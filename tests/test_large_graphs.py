@@ -6,7 +6,7 @@ import pytest
 from helpers import column, graph, random_edges, table
 
 from graphloom.functions import blocks
-from graphloom.operators import connectivity, euler, kernels, structure, traversal
+from graphloom.operators import connectivity, euler, kernels, matching, structure, traversal
 
 
 def simple(seed, n, m):
@@ -98,3 +98,32 @@ def test_trail_of_more_edges_than_a_kernel_takes(spark, monkeypatch, directed):
     assert all(a.to_id == b.from_id for a, b in zip(rows, rows[1:] + rows[:1]))
     for r in rows:
         assert (r.from_id, r.to_id) == edges[r.eid] or (not directed and (r.to_id, r.from_id) == edges[r.eid])
+
+
+def test_bipartition_of_parts(spark, monkeypatch):
+    monkeypatch.setattr(connectivity, "component_ords", lambda *a: pytest.fail("rounds over all edges"))
+    edges = [(2 * a, 2 * b + 1) for a, b in random_edges(51, 30, 70, False)] + [(100, 101), (102, 101)]
+    sides = table(structure.find_bipartition(graph(spark, edges, [500])))
+    assert all(sides[a] != sides[b] for a, b in edges) and sides[500] == sides[100] == sides[102] == "left"
+    assert structure.find_bipartition(graph(spark, [*edges, (100, 102)])) is None
+
+
+def test_matching_of_more_edges_than_a_kernel_takes(spark, monkeypatch):
+    monkeypatch.setattr(matching, "PACKED", 5)
+    monkeypatch.setattr(kernels, "by_component", lambda *a, **k: pytest.fail("all edges go to a kernel"))
+    for seed in (61, 62):
+        edges = sorted({(f"a{a}", f"b{b % 11}") for a, b in random_edges(seed, 14, 40, False)})
+        chosen = ends = [(r.src, r.dst) for r in matching.maximum_bipartite_matching(graph(spark, edges)).collect()]
+        assert set(chosen) <= set(edges) and len({v for e in ends for v in e}) == 2 * len(ends)
+        mate = {}
+
+        def grow(a, seen):
+            for x, b in edges:
+                if x == a and b not in seen:
+                    seen.add(b)
+                    if b not in mate or grow(mate[b], seen):
+                        mate[b] = a
+                        return True
+            return False
+
+        assert len(chosen) == sum(grow(a, set()) for a in sorted({a for a, _ in edges}))
