@@ -40,6 +40,12 @@ def test_global_clustering_without_edge_pairs(spark, in_blocks):
     assert structure.global_clustering_coefficient(graph(spark, [(1, 2)])) == 0
 
 
+def test_average_clustering_without_edge_pairs(spark, in_blocks):
+    edges = simple(4, 100, 400)
+    found = [l / p if p else 0 for l, p in clustering(edges).values()]
+    assert structure.average_clustering_coefficient(graph(spark, edges, [999])) == pytest.approx(sum(found) / (len(found) + 1))
+
+
 def removed(vertices, edges):
     """Components of the vertices by the edges."""
     label = {v: v for v in vertices}
