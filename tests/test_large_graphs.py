@@ -46,6 +46,17 @@ def test_average_clustering_without_edge_pairs(spark, in_blocks):
     assert structure.average_clustering_coefficient(graph(spark, edges, [999])) == pytest.approx(sum(found) / (len(found) + 1))
 
 
+def test_local_clustering_without_edge_pairs(spark, in_blocks, monkeypatch):
+    edges = simple(5, 60, 200)
+    found = {v: l / p if p else 0 for v, (l, p) in clustering(edges).items()}
+    g = graph(spark, edges)
+    best = structure.clustering_coefficients(g).orderBy("coefficient", "id").first()["id"]
+    assert best == min(found, key=lambda v: (found[v], v))
+    for near in (0, 100_000):
+        monkeypatch.setattr(structure, "NEAR", near)
+        assert structure.local_clustering_coefficient(g, 0) == pytest.approx(found[0])
+
+
 def removed(vertices, edges):
     """Components of the vertices by the edges."""
     label = {v: v for v in vertices}
