@@ -57,6 +57,13 @@ def test_local_clustering_without_edge_pairs(spark, in_blocks, monkeypatch):
         assert structure.local_clustering_coefficient(g, 0) == pytest.approx(found[0])
 
 
+def test_clustering_without_edge_pairs(spark, in_blocks):
+    edges = simple(6, 120, 500)
+    shifted = [((a << 33) - 7, (b << 33) - 7) for a, b in edges]
+    found = {(v << 33) - 7: l / p if p else 0 for v, (l, p) in clustering(edges).items()}
+    assert table(structure.clustering_coefficients(graph(spark, shifted))) == pytest.approx(found)
+
+
 def removed(vertices, edges):
     """Components of the vertices by the edges."""
     label = {v: v for v in vertices}
