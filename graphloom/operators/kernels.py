@@ -12,6 +12,7 @@ import heapq
 from collections import defaultdict, deque
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -219,6 +220,56 @@ def saturation_colouring(pdf: pd.DataFrame) -> pd.DataFrame:
     return frame(list(colour.items()), ["id", "color"])
 
 
+#: Vertices whose saturations have one maximum.
+FAN = 64
+
+
+def saturation_colours(starts: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """DSatur colours of vertices that are numbered by falling degree, then insertion.
+
+    ``starts`` and ``near`` are their rows of neighbours.  The next vertex is found in a tree of maxima, the colours
+    around a vertex are bits.
+    """
+    n = len(starts) - 1
+    colours = np.full(n, -1, np.int32)
+    tree = [np.full(-(-n // FAN) * FAN, -1, np.int32)]
+    tree[0][:n] = 0
+    while len(tree[-1]) > FAN:
+        top = tree[-1].reshape(-1, FAN).max(axis=1)
+        tree.append(np.concatenate([top, np.full(-len(top) % FAN, -1, np.int32)]))
+    words = [np.zeros(n, np.uint64)]
+    for _ in range(n):
+        v = 0
+        for level in reversed(tree):
+            v = v * FAN + int(level[v * FAN : (v + 1) * FAN].argmax())
+        colour = 0
+        for used in words:
+            free = ~int(used[v]) & (2**64 - 1)
+            if free:
+                colour += (free & -free).bit_length() - 1
+                break
+            colour += 64
+        else:
+            words.append(np.zeros(n, np.uint64))
+        colours[v] = colour
+        tree[0][v] = -1
+        at = v
+        for low, high in zip(tree, tree[1:]):
+            at //= FAN
+            high[at] = low[at * FAN : (at + 1) * FAN].max()
+        around, bit = near[starts[v] : starts[v + 1]], np.uint64(1 << colour % 64)
+        used = words[colour // 64]
+        new = around[(colours[around] < 0) & ((used[around] & bit) == 0)]
+        if len(new):
+            used[new] |= bit
+            tree[0][new] += 1
+            much = tree[0][new]
+            for high in tree[1:]:
+                new = new // FAN
+                np.maximum.at(high, new, much)
+    return colours
+
+
 # -- flow, matching, trails ---------------------------------------------------------------
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import blocks, forests
 from ..graph import PropertyGraph, first_by_key
-from ..plans.lineage import cut
+from ..plans.lineage import cut, store
 from ..plans.supersteps import check
 from . import connectivity, kernels
 
@@ -184,6 +186,8 @@ def color_vertices(g: PropertyGraph, should_stop=None) -> DataFrame:
     if not g.edges.where("src = dst").isEmpty():
         raise ValueError("a graph with a loop can't be coloured")
     kind = g.vertices.schema["id"].dataType.simpleString()
+    if g.edges.limit(BLOCKED + 1).count() > BLOCKED:
+        return _packed_colours(g, should_stop)
     labels = cut(connectivity.component_ords(g, should_stop))
     none = F.lit(None).cast(g.vertices.schema["id"].dataType)
     pairs = g.skeleton().join(labels, F.col("a") == F.col("id")).select("id", "ord", "label", F.col("b").alias("other"))
@@ -191,5 +195,33 @@ def color_vertices(g: PropertyGraph, should_stop=None) -> DataFrame:
     return kernels.by_component(rows, ["label"], kernels.saturation_colouring, f"id {kind}, color int")
 
 
+def _packed_colours(g: PropertyGraph, should_stop=None) -> DataFrame:
+    """The same colours of a large graph, in one task over four bytes an edge and direction."""
+    check(should_stop)
+    skeleton = g.skeleton()
+    ends = g.with_edges(skeleton.select(F.col("a").alias("src"), F.col("b").alias("dst"))).edges_with_ords()
+    found = blocks.Blocks(store(ends.select(F.col("src_ord").alias("a"), F.col("dst_ord").alias("b"))))
+
+    def use(ords, starts, near):
+        # numbers rise with degree, then order; the first shall have the greatest degree
+        order = np.lexsort((np.arange(len(ords)), -np.diff(starts)))
+        place = np.empty(len(ords), np.int32)
+        place[order] = np.arange(len(ords), dtype=np.int32)
+        sizes = np.diff(starts)[order]
+        turned = np.zeros(len(ords) + 1, np.int64)
+        np.cumsum(sizes, out=turned[1:])
+        other = np.empty_like(near)
+        for k, v in enumerate(order.tolist()):
+            other[turned[k] : turned[k + 1]] = place[near[starts[v] : starts[v + 1]]]
+        colours = kernels.saturation_colours(turned, other)
+        for k in range(0, len(ords), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(ords[order[k : k + 100_000]]), pa.array(colours[k : k + 100_000])], ["ord", "color"])
+
+    colours = cut(found.whole(use, "ord long, color int"))
+    found.remove()
+    # a vertex without neighbours has the first colour
+    return g.vertices.select("id", "ord").join(colours, "ord", "left").select("id", F.coalesce("color", F.lit(0)).alias("color"))
+
+
 def color_count(colors: DataFrame) -> int:
     return colors.agg(F.countDistinct("color")).first()[0]

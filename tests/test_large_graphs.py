@@ -151,3 +151,17 @@ def test_matching_of_more_edges_than_a_kernel_takes(spark, monkeypatch):
             return False
 
         assert len(chosen) == sum(grow(a, set()) for a in sorted({a for a, _ in edges}))
+
+
+def test_colours_of_more_edges_than_a_kernel_takes(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_ENDS", 60)
+    dense = list(combinations(range(200, 270), 2))  # more colours than a word has bits
+    for edges in (simple(71, 90, 300), dense + [(1, 200), (1, 2)], [(f"v{a}", f"v{b}") for a, b in simple(72, 40, 100)]):
+        isolated = ["alone"] if isinstance(edges[0][0], str) else [999]
+        g = graph(spark, edges, isolated)
+        monkeypatch.setattr(structure, "BLOCKED", 1_000_000)
+        small = table(structure.color_vertices(g))
+        monkeypatch.setattr(structure, "BLOCKED", 0)
+        with monkeypatch.context() as large:
+            large.setattr(kernels, "by_component", lambda *a, **k: pytest.fail("all edges go to a kernel"))
+            assert table(structure.color_vertices(g)) == small
