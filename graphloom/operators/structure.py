@@ -98,6 +98,8 @@ def triangles(g: PropertyGraph) -> DataFrame:
     Edges run from the end of smaller degree to the other, so no vertex opens more than
     about sqrt(2 E) of them, hubs included; two that leave a vertex are closed by an edge.
     """
+    if _large(g):
+        return _block_triangles(g)
     e = cut(g.skeleton())
     degree = e.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("k"))
     ranked = e.join(degree.withColumnsRenamed({"v": "a", "k": "ka"}), "a").join(degree.withColumnsRenamed({"v": "b", "k": "kb"}), "b")
@@ -107,6 +109,19 @@ def triangles(g: PropertyGraph) -> DataFrame:
     return wedge.join(e.withColumnsRenamed({"a": "x", "b": "y"}), ["x", "y"]).select(F.col("u").alias("a"), F.col("x").alias("b"), F.col("y").alias("c"))
 
 
+def _block_triangles(g: PropertyGraph) -> DataFrame:
+    kind = g.vertices.schema["id"].dataType.simpleString()
+
+    def use(ids, found):
+        for numbers in found:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[x]) for x in numbers], ["a", "b", "c"])
+
+    whole = blocks.Blocks(g.skeleton())
+    t = store(whole.triangles(use, "a long, b long, c long"))
+    whole.remove()
+    return t.select(*[F.col(c).cast(kind).alias(c) for c in "abc"])
+
+
 def _large(g: PropertyGraph) -> bool:
     """Whether triangles are found in blocks; ids that are no integers are joined."""
     return g.vertices.schema["id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") and g.edges.limit(BLOCKED + 1).count() > BLOCKED
@@ -164,7 +179,7 @@ def maximal_cliques(g: PropertyGraph) -> DataFrame:
     One kernel a root vertex over the edges among its neighbours; each clique has the root
     that is its smallest member.
     """
-    e = cut(g.skeleton())
+    e = g.skeleton() if _large(g) else cut(g.skeleton())
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     none = F.lit(None).cast(g.vertices.schema["id"].dataType)
     members = both.select(F.col("a").alias("root"), F.col("b").alias("a"), none.alias("b"))

@@ -165,3 +165,14 @@ def test_colours_of_more_edges_than_a_kernel_takes(spark, monkeypatch):
         with monkeypatch.context() as large:
             large.setattr(kernels, "by_component", lambda *a, **k: pytest.fail("all edges go to a kernel"))
             assert table(structure.color_vertices(g)) == small
+
+
+def test_cliques_without_edge_pairs(spark, monkeypatch):
+    edges = simple(81, 40, 120)
+    g = graph(spark, edges, [999])
+    small = sorted(column(structure.maximal_cliques(g), "clique"))
+    monkeypatch.setattr(structure, "BLOCKED", 0)
+    monkeypatch.setattr(blocks, "BLOCK_ENDS", 40)
+    seen, inside = [], blocks.Blocks.triangles
+    monkeypatch.setattr(blocks.Blocks, "triangles", lambda self, *a: seen.append(1) or inside(self, *a))
+    assert sorted(column(structure.maximal_cliques(g), "clique")) == small and seen
