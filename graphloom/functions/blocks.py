@@ -18,7 +18,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut, remove, shared_dir
+from ..plans.lineage import cut, passing, remove, shared_dir
 from ..plans.supersteps import ranked
 
 #: Edge ends in a block, about; edges that are packed together; wedges that are looked at together.
@@ -143,8 +143,9 @@ class Blocks:
             _write(f"{uri}/{k}", starts, high[order])
             return pd.DataFrame({"block": [k], "arcs": [len(low)]})
 
-        rows = edges.select("a", "b").mapInArrow(packed, "block int, arcs binary")
-        self.present = present = sorted(r["block"] for r in rows.groupBy("block").applyInPandas(written, "block int, arcs long").collect())
+        with passing(self.spark):
+            rows = edges.select("a", "b").mapInArrow(packed, "block int, arcs binary")
+            self.present = sorted(r["block"] for r in rows.groupBy("block").applyInPandas(written, "block int, arcs long").collect())
 
     def triangles(self, use: Callable, schema: str) -> DataFrame:
         """Rows that ``use`` makes of each block's triangles: of (n, ids by number, frames of u < v < w numbers)."""

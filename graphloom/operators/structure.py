@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import blocks, forests
 from ..graph import PropertyGraph, first_by_key
-from ..plans.lineage import cut, store
+from ..plans.lineage import cut, passing, store
 from ..plans.supersteps import check
 from . import connectivity, kernels
 
@@ -131,12 +131,13 @@ def _links(g: PropertyGraph) -> DataFrame:
     """(id, k, links): distinct neighbours of each vertex and edges among them, loops and directions aside."""
     if _large(g):
         e = g.skeleton()
-        k = cut(blocks.tally(e, ["a", "b"]))
-        found = blocks.Blocks(e, k)
-        t = cut(found.links())
-        found.remove()
-        rows = g.vertices.select("id").join(k, "id", "left").join(t, "id", "left")
-        return cut(rows.select("id", F.coalesce("n", F.lit(0)).alias("k"), F.coalesce("links", F.lit(0)).alias("links")))
+        with passing(e.sparkSession):
+            k = cut(blocks.tally(e, ["a", "b"]))
+            found = blocks.Blocks(e, k)
+            t = cut(found.links())
+            found.remove()
+            rows = g.vertices.select("id").join(k, "id", "left").join(t, "id", "left")
+            return cut(rows.select("id", F.coalesce("n", F.lit(0)).alias("k"), F.coalesce("links", F.lit(0)).alias("links")))
     k = g.skeleton().select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("k"))
     t = triangles(g).select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     rows = g.vertices.select("id").join(k, "id", "left").join(t, "id", "left")

@@ -12,6 +12,8 @@ import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +43,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Whether an execution deletes the files of its shuffles as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """DataFrames made and run inside leave no shuffle files; their results must be kept elsewhere.
+
+    Spark's cleaner alone deletes them when the driver collects its garbage and no event that
+    waits for a listener refers to the execution, which may be never.
+    """
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def store(df: DataFrame) -> DataFrame:
     """``df`` of plain columns computed once and reread from compressed columns in the shared folder.
 
@@ -49,13 +70,20 @@ def store(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     uri = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(uri)
+    with passing(spark):
+        df.write.parquet(uri)
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(uri)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table of ``store`` that nothing reads any more."""
+    for uri in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        remove(df.sparkSession, uri)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner see which shuffles and checkpoints nothing refers to any more."""
     gc.collect()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.blocks import tally
 from ..graph import PropertyGraph, in_order
 from ..hypergraph import Hypergraph
-from ..plans.lineage import cut, store
+from ..plans.lineage import cut, discard, passing, store
 
 #: Ids below which an edge's order is made of both its ends.
 PAIRED = 1 << 29
@@ -93,12 +93,14 @@ def copurchase_pairs(spark: SparkSession, sf_dir: str, least: int | None) -> Pro
 def _stored(rows: DataFrame, directed: bool) -> PropertyGraph:
     """The graph of distinct pairs (src, dst, ...) of ids in order of (src, dst), stored; undirected pairs have src < dst."""
     rows = store(rows.sortWithinPartitions("src", "dst"))
-    ids = cut(tally(rows, ["src", "dst"]).select(F.col("id").cast(rows.schema["src"].dataType).alias("id"), F.col("id").alias("ord")))
+    with passing(rows.sparkSession):
+        ids = cut(tally(rows, ["src", "dst"]).select(F.col("id").cast(rows.schema["src"].dataType).alias("id"), F.col("id").alias("ord")))
     ends = ids.agg(F.min("id"), F.max("id")).first()
     if ends[0] is None or (ends[0] >= 0 and ends[1] < PAIRED):
         edges = rows.withColumn("ord", F.shiftleft("src", 31) + F.col("dst"))
     else:
-        edges = cut(in_order(rows, F.col("src"), F.col("dst")))
+        edges = store(in_order(rows, F.col("src"), F.col("dst")))
+        discard(rows)
     return PropertyGraph(ids, edges.withColumn("eid", F.col("ord")), directed, False)
 
 

@@ -1,12 +1,16 @@
 """The forms that large graphs take, on small ones."""
 
+import time
 from itertools import combinations
 
 import pytest
 from helpers import column, graph, random_edges, table
+from pyspark.sql import functions as F
 
 from graphloom.functions import blocks
 from graphloom.operators import connectivity, euler, kernels, matching, structure, traversal
+from graphloom.plans import lineage
+from graphloom.sources import derived
 
 
 def simple(seed, n, m):
@@ -176,3 +180,47 @@ def test_cliques_without_edge_pairs(spark, monkeypatch):
     seen, inside = [], blocks.Blocks.triangles
     monkeypatch.setattr(blocks.Blocks, "triangles", lambda self, *a: seen.append(1) or inside(self, *a))
     assert sorted(column(structure.maximal_cliques(g), "clique")) == small and seen
+
+
+def shuffled(spark):
+    """Names of the shuffle files that are there."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in files.split("\n") if "/shuffle_" in f and f.endswith(".data")}
+
+
+def none_left(spark, before):
+    """Whether the later shuffle files go within ten seconds."""
+    for _ in range(100):
+        if not shuffled(spark) - before:
+            return True
+        time.sleep(0.1)
+    return False
+
+
+def test_stored_tables_leave_no_shuffle_files(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "release", lambda spark: None)
+    before = shuffled(spark)
+    kept = lineage.store(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert none_left(spark, before)
+    assert table(kept.withColumnRenamed("k", "id")) == {k: len(range(k, 1000, 7)) for k in range(7)}
+
+
+def test_average_clustering_leaves_no_shuffle_files(spark, in_blocks):
+    edges = simple(7, 90, 300)
+    g = graph(spark, edges).freeze()
+    before = shuffled(spark)
+    links = structure._links(g)
+    assert none_left(spark, before)
+    assert {r["id"]: (r["links"], r["k"] * (r["k"] - 1) / 2) for r in links.collect()} == clustering(edges)
+
+
+def test_edges_of_great_ids_are_stored(spark, tmp_path, monkeypatch):
+    """The order of ids above 2^29 is kept in compressed columns too, not in a checkpoint of every edge."""
+    inside, sizes = lineage.cut, []
+    monkeypatch.setattr(derived, "cut", lambda df: sizes.append(df.count()) or inside(df))
+    lines = [(o, (p + 1) << 40) for o in range(20) for p in range(o % 5, o % 5 + 4)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    g = derived.copurchase_pairs(spark, str(tmp_path), None)
+    pairs = sorted({(a, b) for o, a in lines for q, b in lines if o == q and a < b})
+    assert [(r.src, r.dst) for r in g.edges.orderBy("ord").collect()] == pairs
+    assert max(sizes) == len({p for _, p in lines}) < len(pairs)
