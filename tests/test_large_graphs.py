@@ -1,5 +1,6 @@
 """The forms that large graphs take, on small ones."""
 
+import os
 import time
 from itertools import combinations
 
@@ -7,6 +8,7 @@ import pytest
 from helpers import column, graph, random_edges, table
 from pyspark.sql import functions as F
 
+from graphloom import queries
 from graphloom.functions import blocks
 from graphloom.operators import connectivity, euler, kernels, matching, structure, traversal
 from graphloom.plans import lineage
@@ -182,16 +184,16 @@ def test_cliques_without_edge_pairs(spark, monkeypatch):
     assert sorted(column(structure.maximal_cliques(g), "clique")) == small and seen
 
 
-def shuffled(spark):
-    """Names of the shuffle files that are there."""
-    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
-    return {f for f in files.split("\n") if "/shuffle_" in f and f.endswith(".data")}
+def shuffled(spark, least=0):
+    """Names of the shuffle files of at least so many bytes that are there."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return {f for f in files if "/shuffle_" in f and f.endswith(".data") and os.path.exists(f) and os.path.getsize(f) >= least}
 
 
-def none_left(spark, before):
+def none_left(spark, before, least=0):
     """Whether the later shuffle files go within ten seconds."""
     for _ in range(100):
-        if not shuffled(spark) - before:
+        if not shuffled(spark, least) - before:
             return True
         time.sleep(0.1)
     return False
@@ -224,3 +226,23 @@ def test_edges_of_great_ids_are_stored(spark, tmp_path, monkeypatch):
     pairs = sorted({(a, b) for o, a in lines for q, b in lines if o == q and a < b})
     assert [(r.src, r.dst) for r in g.edges.orderBy("ord").collect()] == pairs
     assert max(sizes) == len({p for _, p in lines}) < len(pairs)
+
+
+@pytest.fixture
+def orders(spark, tmp_path, in_blocks, monkeypatch):
+    """A folder with lines of great part keys, and their pairs; the cleaner is not called."""
+    monkeypatch.setattr(lineage, "release", lambda spark: None)
+    lines = [(o, (o * o + p * (o % 7 + 1)) % 90 + (1 << 40)) for o in range(300) for p in range(9)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    parts = {}
+    for o, p in lines:
+        parts.setdefault(o, set()).add(p)
+    return str(tmp_path), {pair for ps in parts.values() for pair in combinations(sorted(ps), 2)}
+
+
+def test_clustering_query_leaves_no_shuffle_files(spark, orders):
+    folder, edges = orders
+    before = shuffled(spark)
+    found = queries.s9_clustering(spark, folder, None)
+    assert none_left(spark, before, 1000)
+    assert table(found) == pytest.approx({v: l / p if p else 0 for v, (l, p) in clustering(edges).items()}, abs=1e-8)
