@@ -246,3 +246,11 @@ def test_clustering_query_leaves_no_shuffle_files(spark, orders):
     found = queries.s9_clustering(spark, folder, None)
     assert none_left(spark, before, 1000)
     assert table(found) == pytest.approx({v: l / p if p else 0 for v, (l, p) in clustering(edges).items()}, abs=1e-8)
+
+
+def test_local_clustering_query_leaves_no_shuffle_files(spark, orders):
+    folder, edges = orders
+    before = shuffled(spark)
+    found = queries.s8_local_clustering(spark, folder, None)
+    assert none_left(spark, before, 1000)
+    assert found.first()["coefficient"] == pytest.approx(max(l / p for l, p in clustering(edges).values() if p), abs=1e-8)
