@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 
 #: Edges that are read together.
 READ = 2_000_000
+#: Numbers an edge up to which ids from the least to the greatest are looked up in a table.
+CLOSE = 4
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -43,13 +45,38 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = root[label]
 
 
+def numbered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct ids in order, numbers of a, numbers of b); never an order of both together."""
+    low, high = (min(int(a.min()), int(b.min())), max(int(a.max()), int(b.max()))) if len(a) else (0, -1)
+    if high - low < CLOSE * len(a):
+        at = np.zeros(high - low + 1, np.int32)
+        at[a - low] = at[b - low] = 1
+        ids = np.flatnonzero(at) + low
+        np.cumsum(at, out=at)
+        at -= 1
+        return ids, at[a - low], at[b - low]
+    own, s = np.unique(a, return_inverse=True)
+    s = s.astype(np.int32)
+    other, t = np.unique(b, return_inverse=True)
+    t = t.astype(np.int32)
+    ids = np.union1d(own, other)
+    return ids, np.searchsorted(ids, own).astype(np.int32)[s], np.searchsorted(ids, other).astype(np.int32)[t]
+
+
 def rows_of(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, neighbours, positions of the edges) of the edges in both directions."""
-    ends = np.concatenate([a, b]).astype(np.int32)
-    order = np.argsort(ends, kind="stable").astype(np.int32)
+    # an end and its place in one number, ordered in place
+    order = np.concatenate([a, b]).astype(np.int64)
     starts = np.zeros(n + 1, np.int64)
-    np.cumsum(np.bincount(ends, minlength=n), out=starts[1:])
-    return starts, np.concatenate([b, a]).astype(np.int32)[order], order % np.int32(max(1, len(a)))
+    np.cumsum(np.bincount(order, minlength=n), out=starts[1:])
+    order <<= 32
+    order |= np.arange(len(order), dtype=np.int32)
+    order.sort()
+    order &= 0xFFFFFFFF
+    order = order.astype(np.int32)
+    near = np.concatenate([b, a]).astype(np.int32, copy=False)[order]
+    order %= np.int32(max(1, len(a)))
+    return starts, near, order
 
 
 def breadth_first(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -76,38 +103,55 @@ def breadth_first(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def certified(a: np.ndarray, b: np.ndarray, eid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The certificate's edges (a, b, eid); there are no loops."""
-    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    s, t = at[: len(a)].astype(np.int32), at[len(a) :].astype(np.int32)
-    del at
+    ids, s, t = numbered(a, b)
     # a scan takes one edge to each neighbour, so the forests are of different pairs; a pair's second edge goes with its first
     pair = np.minimum(s, t).astype(np.int64) * len(ids) + np.maximum(s, t)
-    order = np.argsort(pair, kind="stable")
-    again = np.diff(pair[order], prepend=-1) == 0
-    second = order[again & ~np.roll(again, 1)]
-    of = order[np.flatnonzero(again & ~np.roll(again, 1)) - 1]
-    first = np.sort(order[~again])
-    del pair, order, again
-    s, t = s[first], t[first]
-    rest = np.ones(len(first), bool)
+    second = of = first = None
+    together = np.sort(pair)
+    if (together[1:] == together[:-1]).any():
+        del together
+        order = np.argsort(pair, kind="stable")
+        again = np.diff(pair[order], prepend=-1) == 0
+        second = order[again & ~np.roll(again, 1)]
+        of = order[np.flatnonzero(again & ~np.roll(again, 1)) - 1]
+        first = np.sort(order[~again])
+        del order, again
+        s, t = s[first], t[first]
+    together = pair = None
+    rest = np.ones(len(s), bool)
     rest[breadth_first(len(ids), s, t)] = False
-    kept = np.zeros(len(a), bool)
-    kept[first[~rest]] = True
     other = np.flatnonzero(rest)
-    kept[first[other[spanning(len(ids), s[other], t[other])]]] = True
+    taken = ~rest
+    taken[other[spanning(len(ids), s[other], t[other])]] = True
+    if first is None:
+        return a[taken], b[taken], eid[taken]
+    kept = np.zeros(len(a), bool)
+    kept[first[taken]] = True
     kept[second[kept[of]]] = True
     return a[kept], b[kept], eid[kept]
 
 
 def _certificate(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    kept = tuple(np.empty(0, np.int64) for _ in range(3))
-    held, size = [], 0
+    held, size = [[np.empty(0, np.int64)] for _ in range(3)], 0
+
+    def certify() -> None:
+        columns = []
+        for parts in held:
+            columns.append(np.concatenate(parts))
+            parts.clear()  # each column is there twice only while it is joined
+        for parts, kept in zip(held, certified(*columns)):
+            parts.append(kept)
+
     for batch in batches:
-        held.append([c.cast(pa.int64()).to_numpy(zero_copy_only=False) for c in batch.columns])
+        for parts, c in zip(held, batch.columns):
+            parts.append(c.cast(pa.int64()).to_numpy(zero_copy_only=False))
         size += len(batch)
         if size >= READ:
-            kept = certified(*(np.concatenate([k, *x]) for k, x in zip(kept, zip(*held))))
-            held, size = [], 0
-    return certified(*(np.concatenate([k, *x]) for k, x in zip(kept, zip(*held)))) if held else kept
+            certify()
+            size = 0
+    if size:
+        certify()
+    return tuple(parts[0] for parts in held)
 
 
 def _slices(names: list[str], columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +177,10 @@ def low_links(edges: DataFrame) -> DataFrame:
 
 def _low_links(a: np.ndarray, b: np.ndarray, eid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bridges' eids and articulation points."""
-    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    ids, s, t = numbered(a, b)
     n = len(ids)
-    starts, near, edges = (memoryview(x) for x in rows_of(n, at[: len(a)], at[len(a) :]))
+    starts, near, edges = (memoryview(x) for x in rows_of(n, s, t))
+    del s, t
     found, low, came, cursor = array("i", bytes(4 * n)), array("i", bytes(4 * n)), array("i", bytes(4 * n)), array("q", starts[:n].tobytes())
     bridges, cut, count = array("i"), bytearray(n), 0
     for root in range(n):

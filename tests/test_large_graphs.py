@@ -2,14 +2,16 @@
 
 import os
 import time
+import tracemalloc
 from itertools import combinations
 
+import numpy as np
 import pytest
 from helpers import column, graph, random_edges, table
 from pyspark.sql import functions as F
 
 from graphloom import queries
-from graphloom.functions import blocks
+from graphloom.functions import blocks, forests
 from graphloom.operators import connectivity, euler, kernels, matching, structure, traversal
 from graphloom.plans import lineage
 from graphloom.sources import derived
@@ -105,6 +107,22 @@ def test_articulation_points_beyond_a_kernel(spark, monkeypatch, kind):
     assert sorted(column(connectivity.find_articulation_points(g))) == sorted(expected) and expected
 
 
+def test_certificate_holds_few_bytes_an_edge():
+    r = np.random.default_rng(14)
+    a = r.integers(0, 30_000, 120_000)
+    b = (a + r.integers(1, 29_999, len(a))) % 30_000
+    eid, found = np.arange(len(a)), []
+    for apart in (1, 1 << 40):
+        tracemalloc.start()
+        kept = forests.certified(a * apart, b * apart, eid)
+        points = forests._low_links(*kept)[1] // apart
+        # 48 bytes an edge are its own, in the two columns made here and what is kept
+        found.append((tracemalloc.get_traced_memory()[1] / len(a), kept[2].tolist(), points.tolist()))
+        tracemalloc.stop()
+    assert found[0][1:] == found[1][1:] and len(found[0][1]) < 2 * 30_000
+    assert max(f[0] for f in found) < 100
+
+
 def test_cycle_of_more_arcs_than_a_kernel_takes(spark, monkeypatch):
     inside = kernels.single
     monkeypatch.setattr(kernels, "single", lambda df, kernel, schema: inside(df, kernel, schema, 12))
