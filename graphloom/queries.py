@@ -17,7 +17,7 @@ from .errors import NegativeWeightError
 from .graph import GraphBuilder, PropertyGraph
 from .hypergraph import Hypergraph
 from .operators import centrality, connectivity, euler, flow, matching, metrics, paths, setops, spanning, structure, traversal
-from .plans.lineage import cut
+from .plans.lineage import cut, discard
 from .sources import derived, documents, generate, text_formats
 from .sources.derived import CONV_CHAIN, EVENT_FLOW, GEO_TREE, NATION_FLOW, SUPP_PART, copurchase_sql, part_seq_sql
 
@@ -646,7 +646,9 @@ cf AS (SELECT k.id, k, coalesce(l, 0) AS l, CASE WHEN k > 1 THEN coalesce(l, 0)
 def s8_local_clustering(spark, sf_dir, least=45):
     g = derived.copurchase_pairs(spark, sf_dir, least)
     best = structure.clustering_coefficients(g).orderBy(F.desc("coefficient"), "id").first()["id"]
-    return row(spark, coefficient=round(float(structure.local_clustering_coefficient(g, best)), DIGITS))
+    found = round(float(structure.local_clustering_coefficient(g, best)), DIGITS)
+    discard(g.edges)
+    return row(spark, coefficient=found)
 
 
 @query(f"WITH {CLUSTER} SELECT id, round(c, {DIGITS}) AS coefficient FROM cf")

@@ -258,6 +258,23 @@ def orders(spark, tmp_path, in_blocks, monkeypatch):
     return str(tmp_path), {pair for ps in parts.values() for pair in combinations(sorted(ps), 2)}
 
 
+def stored(spark):
+    """Names of the stored tables that are there."""
+    folder = lineage.shared_dir(spark).removeprefix("file:")
+    return {f for f in os.listdir(folder) if f.startswith("stored-")} if os.path.isdir(folder) else set()
+
+
+@pytest.mark.parametrize("large", [True, False])
+def test_local_clustering_query_leaves_no_stored_edges(spark, orders, monkeypatch, large):
+    folder, edges = orders
+    if not large:
+        monkeypatch.undo()
+    before = stored(spark)
+    found = queries.s8_local_clustering(spark, folder, None)
+    assert stored(spark) <= before
+    assert found.first()["coefficient"] == pytest.approx(max(l / p for l, p in clustering(edges).values() if p), abs=1e-8)
+
+
 def test_clustering_query_leaves_no_shuffle_files(spark, orders):
     folder, edges = orders
     before = shuffled(spark)
