@@ -653,7 +653,10 @@ def s8_local_clustering(spark, sf_dir, least=45):
 
 @query(f"WITH {CLUSTER} SELECT id, round(c, {DIGITS}) AS coefficient FROM cf")
 def s9_clustering(spark, sf_dir, least=45):
-    return rounded(structure.clustering_coefficients(derived.copurchase_pairs(spark, sf_dir, least)), "coefficient")
+    g = derived.copurchase_pairs(spark, sf_dir, least)
+    found = cut(rounded(structure.clustering_coefficients(g), "coefficient"))
+    discard(g.edges)
+    return found
 
 
 @query(f"WITH {CLUSTER} SELECT round(avg(c), {DIGITS}) AS average FROM cf")

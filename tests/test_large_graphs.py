@@ -275,6 +275,17 @@ def test_local_clustering_query_leaves_no_stored_edges(spark, orders, monkeypatc
     assert found.first()["coefficient"] == pytest.approx(max(l / p for l, p in clustering(edges).values() if p), abs=1e-8)
 
 
+@pytest.mark.parametrize("large", [True, False])
+def test_clustering_query_leaves_no_stored_edges(spark, orders, monkeypatch, large):
+    folder, edges = orders
+    if not large:
+        monkeypatch.undo()
+    before = stored(spark)
+    found = queries.s9_clustering(spark, folder, None)
+    assert stored(spark) <= before
+    assert table(found) == pytest.approx({v: l / p if p else 0 for v, (l, p) in clustering(edges).items()}, abs=1e-8)
+
+
 def test_clustering_query_leaves_no_shuffle_files(spark, orders):
     folder, edges = orders
     before = shuffled(spark)
