@@ -13,12 +13,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def numbered(column: pa.Array, separator: str = " ") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(distinct words, number of each row's words in that list, words up to each row's end, from 0 on)."""
+def words_of(column: pa.Array, separator: str = " ") -> tuple[pa.Array, np.ndarray]:
+    """(the rows' words end to end, words up to each row's end, from 0 on)."""
     split = pc.split_pattern(column, separator)
     ends = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)))
-    words = split.flatten().dictionary_encode()
-    del split
+    return split.flatten(), ends
+
+
+def numbered(column: pa.Array, separator: str = " ") -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, number of each row's words in that list, words up to each row's end, from 0 on)."""
+    words, ends = words_of(column, separator)
+    words = words.dictionary_encode()
     pa.default_memory_pool().release_unused()
     return words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy(zero_copy_only=False), ends
 
@@ -27,7 +32,13 @@ def laid_out(parts: list[bytes], index: np.ndarray, ends: np.ndarray, kind: str)
     """(the parts that ``index`` names end to end, as numbers of ``kind``; where each row ends, from 0 on)."""
     flat = np.frombuffer(b"".join(parts), kind)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // flat.itemsize
-    shift = np.cumsum(lengths) - lengths
+    return gathered(flat, np.cumsum(lengths) - lengths, lengths, index, ends)
+
+
+def gathered(
+    flat: np.ndarray, shift: np.ndarray, lengths: np.ndarray, index: np.ndarray, ends: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """``laid_out`` of parts that lie in ``flat``, each from its ``shift`` on."""
     own = lengths[index]
     stops = np.cumsum(own)
     total = int(stops[-1]) if len(stops) else 0

@@ -2,6 +2,7 @@
 
 import io
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -213,6 +214,57 @@ def test_byte_tokens_equal_the_library():
             assert got == plain(text), text
 
 
+def test_remembered_pieces_take_few_bytes():
+    """So a worker can remember enough of them; as Python strings and bytes they took over 100 bytes each."""
+    tokens = token_files.Tokens(PLAIN_PATH)
+    tokens.encode(arrow(["a b"]))
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choices(["ther", "in", "que", "lo", "sch", "ä", "z"], k=5)) for _ in range(30_000)})
+    tracemalloc.start()
+    try:
+        before, column = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes(), arrow([" ".join(words)])
+        own = column.nbytes
+        assert rows_of(tokens.encode(column)) == [plain(" ".join(words))]
+        taken = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before - own
+    finally:
+        tracemalloc.stop()
+    assert taken < 100 * len(words)
+
+
+@pytest.mark.parametrize("limit, each", [(500_000, 64), (40, 64), (500_000, 0.001)])
+def test_pieces_of_slices_numbered_together(monkeypatch, limit, each):
+    """Also with empty slices, slices of odd texts alone, and pieces forgotten by their number or by their bytes."""
+    monkeypatch.setattr(token_files, "REMEMBERED", limit)
+    monkeypatch.setattr(token_files, "REMEMBERED_BYTES", each)
+    tokens = token_files.Tokens(PLAIN_PATH)
+    for seed in range(6):
+        texts = [random_texts(40 + seed, 60), [], [None, "", "a  b"], [prose(seed, 200) + " x" * 50], TEXTS + MORE]
+        for column, found in zip(texts, tokens.encode_slices([arrow(t) for t in texts]), strict=True):
+            assert rows_of(found) == [plain(t) for t in column]
+        assert len(tokens.ids) == tokens.stops[-1] and len(tokens.known) == len(tokens.used) == len(tokens.stops) - 1
+    if (limit, each) != (500_000, 64):
+        tokens.encode(arrow([""]))  # has no pieces
+        assert len(tokens.known) <= limit / 2
+        assert sum(len(p.encode()) for p in tokens.known.to_pylist()) + 4 * len(tokens.ids) <= limit * each / 2
+
+
+def test_an_error_while_learning_leaves_what_was_remembered(monkeypatch):
+    tokens = token_files.Tokens(PLAIN_PATH)
+    tokens.encode(arrow(["some words 1a"]))
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(tokens, "_library", lambda text: (_ for _ in ()).throw(RuntimeError("lost")))
+        tokens.encode(arrow(["other words 2b"]))
+    texts = ["1a other some", "2b words"]
+    assert rows_of(tokens.encode(arrow(texts))) == [plain(t) for t in texts]
+
+
+def test_pieces_of_any_script_equal_the_library():
+    tokens, signs = token_files.Tokens(PLAIN_PATH), [chr(c) for c in [*range(1, 0x3100), *range(0xA000, 0xAC10), *range(0xF900, 0x10400, 3)]]
+    texts = [f"a{c}b {c}{c} x{c}. {c}" for c in signs]
+    for text, got in zip(texts, rows_of(tokens.encode(arrow(texts)))):
+        assert got == plain(text), text
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 2000, 300_000])
 def test_token_file_round_trip(tmp_path, n):
     rng = np.random.default_rng(n)
